@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licenses, mixing, quality, secrets, urls, warc
+from . import classifier, contamination, jaccard, licenses, mixing, quality, repeats, secrets, urls, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,18 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_docs(spark, sf_dir)).drop("blocks")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_docs(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
@@ -51,7 +59,15 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown("findings").alias("spans"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return classifier.score(docs, classifier.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_license_scan, op4_quality_rules, op5_url_filter, op6_warc_round_trip, op7_source_mix, op8_decontamination, op9_secret_scan)
+    f.__name__: f for f in (
+        op1_substring_dedup, op2_license_scan, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_warc_round_trip, op7_source_mix, op8_decontamination,
+        op9_secret_scan, op10_quality_classifier,
+    )
 }
 ORACLES: dict[str, str] = {}

@@ -95,3 +95,13 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
         return F.struct(F.greatest(x["at"], s["end"]).alias("at"), F.concat(x["done"], piece).alias("done"))
 
     return F.aggregate(spans, start, step, lambda x: F.concat(x["done"], F.substring(text, x["at"].cast("int") + 1, size)))
+
+
+def redacted(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """The same rows and columns; every span found is put in place by a mark. Null texts stay null."""
+    _, now = update(versions, ledger, id_col, text_col, rule_version)
+    hits = now.where((F.col("rule_version") == rule_version) & F.col("findings").isNotNull()).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
+    held = versions.withColumn("_blob", F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    joined = salted_join(held, hits, "_blob", id_col, "left")
+    text = F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("_found")))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in versions.columns))

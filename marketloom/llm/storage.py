@@ -45,7 +45,7 @@ def discard(*tables: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def parts_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
