@@ -19,7 +19,6 @@ TYPES = {"key": np.uint64, "low": np.uint32, "id": np.int64, "pos": np.int32}
 SCHEMA = "part int, kind int, " + ", ".join(f"{c} binary" for c in COLUMNS)
 #: A task sends what it has gathered when it holds so many records.
 FLUSH = 6_000_000
-PARTS_PER_PARTITION = 8
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -76,14 +75,15 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dealt(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(n, "part")
+    """Each part a task of its own."""
+    return df.repartitionById(n, F.col("part"))
 
 
-def with_texts(texts: DataFrame, blobs: DataFrame, n: int, parts: int) -> DataFrame:
+def with_texts(texts: DataFrame, blobs: DataFrame, parts: int) -> DataFrame:
     """Rows of texts (id, text) and records about them in one task, the records of a part before its texts."""
     a = texts.selectExpr(f"{bucket_sql('id', parts)} as part", "1 as kind", "id", "text", "cast(null as binary) as ids", "cast(null as binary) as pos")
     b = blobs.selectExpr("part", "0 as kind", "cast(null as long) as id", "cast(null as string) as text", "id as ids", "pos")
-    return a.unionAll(b).repartition(n, "part").sortWithinPartitions("part", "kind")
+    return dealt(a.unionAll(b), parts).sortWithinPartitions("part", "kind")
 
 
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:

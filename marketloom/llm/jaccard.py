@@ -10,7 +10,9 @@ class; classes link where their Jaccard similarity reaches the threshold. All of
 3. Rounds. Each class first meets the centre with which it shares most runs, then the members of its runs that no link
    has joined to it yet, a growing number of centres at a time, until each run is of one component or has been compared in
    full. Links within a component change nothing, so a large group of near copies costs about one comparison a member.
-4. Prefix tree. The sets that meet a centre are sorted from the most frequent shingle on, which is a depth-first walk of their
+4. Bound. Counts of shingles by part of the hash limit a pair's overlap: the sum of the lesser counts. Pairs that it shows not to
+   link are left before sets move.
+5. Prefix tree. The sets that meet a centre are sorted from the most frequent shingle on, which is a depth-first walk of their
    trie: the overlap up to the node where two sets part is kept, not counted anew, and a subtree is left where overlap
    and remaining length can't reach the threshold.
 
@@ -37,6 +39,8 @@ from .words import PRINTED, Block, blocks, grams, mix
 SHINGLE = 5
 THRESHOLD = 75
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
+#: Parts of the hash by which shingles are counted for the bound.
+PROFILE = 256
 #: Centres of a run that its members meet by round; then in full.
 CENTRES = (32, 1024)
 
@@ -59,6 +63,30 @@ def signature(s: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def profile(s: np.ndarray) -> bytes:
+    """How many of the set fall into each part of the hash, in two bytes each; what doesn't fit gives none."""
+    counts = np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=PROFILE)
+    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
+
+
+def _possible(percent: int):
+    """Of rows (a, b, p, q), with their profiles, those whose overlap may be enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a"), batch.column("b")
+            keep = np.ones(len(a), bool)
+            cells = [(i, x.as_buffer(), y.as_buffer()) for i, (x, y) in enumerate(zip(batch.column("p"), batch.column("q"))) if len(x.as_buffer()) and len(y.as_buffer())]
+            for at in range(0, len(cells), 4096):
+                some = cells[at : at + 4096]
+                x, y = (np.frombuffer(b"".join(c[j] for c in some), np.uint16).reshape(len(some), PROFILE) for j in (1, 2))
+                keep[[c[0] for c in some]] = np.minimum(x, y).sum(1, dtype=np.int64) >= need(x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64), percent)
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+    return run
+
+
 def need(n: np.ndarray | int, m: np.ndarray | int, percent: int):
     """Least overlap of linked sets of n and m: 100 * o >= percent * (n + m - o)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -75,8 +103,8 @@ def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _classes(k: int):
-    """Rows (id, n, sig) of the texts and (block, counts) of the sketch."""
-    names = ["id", "n", "sig", "block", "counts"]
+    """Rows (id, n, sig, profile) of the texts and (block, counts) of the sketch."""
+    names = ["id", "n", "sig", "block", "counts", "profile"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -85,13 +113,13 @@ def _classes(k: int):
                 found = list(sets_of(b, b.hashes(), k))
                 counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                 none = pa.nulls(b.n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), pa.array([len(s) for s in found], pa.int32()), pa.array([signature(s) for s in found], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), pa.array([len(s) for s in found], pa.int32()), pa.array([signature(s) for s in found], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array([profile(s) for s in found], pa.binary())], names)
         if counts.any():
             cells = counts.reshape(-1, SKETCH_BLOCK)
             most = [next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if c.max() <= np.iinfo(t).max) for c in cells]
             packed = [bytes([np.dtype(t).itemsize]) + zlib.compress(c.astype(t).tobytes(), 1) for c, t in zip(cells, most)]
             none = pa.nulls(len(cells))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(range(len(cells)), pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(range(len(cells)), pa.int32()), pa.array(packed, pa.binary()), none.cast(pa.binary())], names)
 
     return run
 
@@ -288,17 +316,22 @@ def _walk(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, first_of: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """The pairs (a, b) that link, from distinct ones; first_of: (sig, id) of a text of each class."""
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    chosen = materialize(wanted.join(first_of, "sig").select("sig", "id"), "chosen")
-    sets = materialize(texts.join(chosen, "id").select("sig", "text").mapInArrow(_sets(k, levels), "sig long, path binary"), "sets")
+def _linked(pairs: DataFrame, texts: DataFrame, first_of: DataFrame, profiles: DataFrame, k: int, percent: int, levels) -> DataFrame:
+    """The pairs (a, b) that link, from distinct ones; first_of: (sig, id) of a text of each class; profiles: (id, sig, profile) of all."""
+    both = lambda p: p.select(F.col("a").alias("sig")).union(p.select("b")).distinct()
+    chosen = materialize(both(pairs).join(first_of, "sig").select("sig", "id"), "chosen")
+    own = profiles.join(chosen, ["sig", "id"]).select("sig", "profile").dropDuplicates(["sig"])
+    with_p = pairs.select("a", "b").join(own.select(F.col("sig").alias("a"), F.col("profile").alias("p")), "a")
+    with_q = with_p.join(own.select(F.col("sig").alias("b"), F.col("profile").alias("q")), "b")
+    pairs = materialize(with_q.select("a", "b", "p", "q").mapInArrow(_possible(percent), "a long, b long"), "possible")
+    near = materialize(both(pairs).join(chosen, "sig").select("sig", "id"), "near")
+    sets = materialize(texts.join(near, "id").select("sig", "text").mapInArrow(_sets(k, levels), "sig long, path binary"), "sets")
     met = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int").alias("salt"))
     members = met.join(sets.withColumnRenamed("sig", "b"), "b").select("a", "salt", "b", "path")
     centres = met.select("a", "salt").distinct().join(sets.withColumnRenamed("sig", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "path")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(centres.unionAll(members).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull(), "path").mapInArrow(_walk(percent), "a long, b long"), "links")
-    discard(chosen, sets)
+    discard(chosen, near, pairs, sets)
     return found
 
 
@@ -307,31 +340,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     equal set."""
     spark = docs.sparkSession
     texts = blobs.texts_of(docs, id_col, text_col)
-    n = parts_for(docs)
-    parts = n * blobs.PARTS_PER_PARTITION + 1
-    made = materialize(texts.mapInArrow(_classes(k), "id long, n int, sig long, block int, counts binary"), "classes")
+    parts = parts_for(docs)
+    made = materialize(texts.mapInArrow(_classes(k), "id long, n int, sig long, block int, counts binary, profile binary"), "classes")
     rows = made.where("block IS NULL").select("id", "n", "sig")
     levels = spark.sparkContext.broadcast(levels_of(made.where("block IS NOT NULL").select("block", "counts")))
+    profiles = made.where("block IS NULL AND n > 0").select("id", "sig", "profile")
     first_of = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"))
     sent = texts.mapInArrow(_postings(k, percent, levels, parts), blobs.SCHEMA)
-    runs = materialize(blobs.dealt(sent, n).mapInArrow(_runs(percent), RUNS), "runs")
+    runs = materialize(blobs.dealt(sent, parts).mapInArrow(_runs(percent), RUNS), "runs")
     # first each class with the centre it shares most with
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
     stars = runs.where("kind = 0").groupBy("a", "b", "n_a", "n_b").agg(F.sum("low").alias("shared"))
     pairs = materialize(stars.withColumn("place", F.row_number().over(best)).where("place = 1").select("a", "b"), "pairs")
-    links, checked, members = _linked(pairs, texts, first_of, k, percent, levels), pairs, runs.where("kind = 1")
+    links, checked, members = _linked(pairs, texts, first_of, profiles, k, percent, levels), pairs, runs.where("kind = 1")
+    labels = components(links, "a", "b")
     for upto in (*CENTRES, None):
-        labels = components(links, "a", "b")
         now = salted_join(members.select("a", "n_a", "part", "low"), labels.withColumnRenamed("node", "a"), "a", "low", "left").withColumn("label", F.coalesce("component", "a"))
-        met = materialize(now.select("part", "low", "a", "n_a", "label").repartition(n, "part").mapInArrow(_meetings(percent, upto), RUNS), "runs")
+        met = materialize(now.select("part", "low", "a", "n_a", "label").repartition(parts, "part", "low").mapInArrow(_meetings(percent, upto), RUNS), "runs")
         pairs = materialize(met.where("kind = 0").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = materialize(links.unionAll(_linked(pairs, texts, first_of, k, percent, levels)), "links")
-            checked = checked.unionAll(pairs)
-        members = met.where("kind = 1")
+        more = None if pairs.isEmpty() else _linked(pairs, texts, first_of, profiles, k, percent, levels)
+        if more is not None and not more.isEmpty():
+            links = materialize(links.unionAll(more), "links")
+            labels = components(links, "a", "b")
+        members, checked = met.where("kind = 1"), checked.unionAll(pairs)
         if members.isEmpty():
             break
-    labels = components(links, "a", "b")
     named = first_of.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.col("id").alias("class_id"), F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     classes = salted_join(named, least, "component", "sig").select("sig", "class_id", "component_id")

@@ -211,12 +211,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """One row a document: its id, n_words, n_removed, spans (word ranges removed, end exclusive) and kept, its other words
     joined by one space."""
     texts = blobs.texts_of(docs, id_col, text_col)
-    n = parts_for(docs)
-    parts = n * blobs.PARTS_PER_PARTITION + 1
+    parts = parts_for(docs)
     sent = texts.mapInArrow(_anchors(window, anchor, parts), blobs.SCHEMA)
-    live = materialize(blobs.dealt(sent, n).mapInArrow(_live(parts), blobs.SCHEMA), "live")
-    found = blobs.with_texts(texts, live, n, parts).mapInArrow(_windows(window, anchor, parts), blobs.SCHEMA)
-    gone = materialize(blobs.dealt(found, n).mapInArrow(_removed(parts), blobs.SCHEMA), "removed")
+    live = materialize(blobs.dealt(sent, parts).mapInArrow(_live(parts), blobs.SCHEMA), "live")
+    found = blobs.with_texts(texts, live, parts).mapInArrow(_windows(window, anchor, parts), blobs.SCHEMA)
+    gone = materialize(blobs.dealt(found, parts).mapInArrow(_removed(parts), blobs.SCHEMA), "removed")
     discard(live)
-    out = blobs.with_texts(texts, gone, n, parts).mapInArrow(_kept(window), f"id long, n_words long, n_removed long, spans {SPANS}, kept string")
+    out = blobs.with_texts(texts, gone, parts).mapInArrow(_kept(window), f"id long, n_words long, n_removed long, spans {SPANS}, kept string")
     return out.select(F.nullif("id", F.lit(int(blobs.NO_ID))).alias(id_col), "n_words", "n_removed", "spans", "kept")

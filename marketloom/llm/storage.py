@@ -26,6 +26,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # what was shuffled for it can go now
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
