@@ -40,7 +40,7 @@ SHINGLE = 5
 THRESHOLD = 75
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
 #: Parts of the hash by which shingles are counted for the bound.
-PROFILE = 256
+PROFILE_BITS = (6, 16)
 #: Centres of a run that its members meet by round; then in full.
 CENTRES = (32, 1024)
 
@@ -64,9 +64,20 @@ def signature(s: np.ndarray) -> int:
 
 
 def profile(s: np.ndarray) -> bytes:
-    """How many of the set fall into each part of the hash, in two bytes each; what doesn't fit gives none."""
-    counts = np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=PROFILE)
-    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
+    """How many of the set fall into each part of the hash, a byte each; about three a part, so that long sets get more parts."""
+    bits = min(PROFILE_BITS[1], max(PROFILE_BITS[0], (len(s) // 3).bit_length()))
+    counts = np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def bound(p: bytes, q: bytes) -> tuple[int, int, int] | None:
+    """(n, m, most that two sets of these profiles can share); None if a profile is missing."""
+    if not p or not q:
+        return None
+    x, y = np.frombuffer(p, np.uint8).astype(np.int64), np.frombuffer(q, np.uint8).astype(np.int64)
+    size = min(len(x), len(y))
+    x, y = x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)
+    return int(x.sum()), int(y.sum()), int(np.minimum(x, y).sum())
 
 
 def _possible(percent: int):
@@ -74,15 +85,9 @@ def _possible(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            keep = np.ones(len(a), bool)
-            cells = [(i, x.as_buffer(), y.as_buffer()) for i, (x, y) in enumerate(zip(batch.column("p"), batch.column("q"))) if len(x.as_buffer()) and len(y.as_buffer())]
-            for at in range(0, len(cells), 4096):
-                some = cells[at : at + 4096]
-                x, y = (np.frombuffer(b"".join(c[j] for c in some), np.uint16).reshape(len(some), PROFILE) for j in (1, 2))
-                keep[[c[0] for c in some]] = np.minimum(x, y).sum(1, dtype=np.int64) >= need(x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64), percent)
-            keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+            found = [bound(p.as_py(), q.as_py()) for p, q in zip(batch.column("p"), batch.column("q"))]
+            keep = pa.array([x is None or x[2] >= need(x[0], x[1], percent) for x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
 
