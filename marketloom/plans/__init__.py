@@ -1,0 +1,4 @@
+"""Queries over the driver's tables."""
+
+from . import market, scoring  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
