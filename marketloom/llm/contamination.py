@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import id_in, id_out, materialize
 
 WINDOW = 13
 SLOP = 2
@@ -47,7 +47,7 @@ def _hint(df: DataFrame, rows: int) -> DataFrame:
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
     """(windows, matches): matches has (id, w, start, shift); shift 0: both rarest terms stand as in the window,
     else they are so many words nearer or further. Phrase matches are candidates still, for `contamination`."""
-    table = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    table = docs.select(id_in(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     found = materialize(windows(items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), size), "windows")
     terms = found.select("w", F.posexplode("words").alias("offset", "word")).select("w", "offset", F.lower("word").alias("term"))
     vocabulary = materialize(terms.select("term").distinct(), "terms")
@@ -76,7 +76,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     at = matches.where("shift = 0 AND start >= 0").join(found, "w").select("id", "start", "words", "items")
     near = matches.where("shift <> 0").groupBy("id").agg(F.count("*").alias("n_near"))
     candidates = at.groupBy("id").agg(F.collect_list(F.struct("start", "words", "items")).alias("at")).join(near, "id", "full")
-    table = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
+    table = docs.select(id_in(docs, id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
     both = table.join(candidates, "id", "left")
     both = both.withColumn("n_words", F.size(split_words(F.col("text"))).cast("long"))
     exact = F.when(F.col("at").isNull(), F.array().cast("array<struct<start:int,words:array<string>,items:array<string>>>")).otherwise(
@@ -85,6 +85,6 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hit = F.expr("aggregate(array_sort(array_distinct(transform(exact, c -> struct(c.start AS s, c.start + size(c.words) AS e)))), struct(0 AS seen, 0 AS n), (x, c) -> struct(greatest(x.seen, c.e) AS seen, x.n + greatest(0, c.e - greatest(x.seen, c.s)) AS n)).n")
     both = both.withColumn("exact", exact).withColumn("n_hit", hit.cast("long")).withColumn("items", F.array_sort(F.array_distinct(F.flatten(F.transform("exact", lambda c: c["items"])))))
     return both.select(
-        F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        id_out(docs, id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *(["row"] if with_row else []),
     )

@@ -68,9 +68,10 @@ def mix(
     total: tokens wanted; if None, `fraction` of all there are. Null language or source is a node of its own. Documents
     without words are never chosen. Rows that repeat an id in one leaf are chosen together."""
     weights = WEIGHTS if weights is None else weights
-    rows = docs.withColumn("domain", F.expr(domain)).withColumn("n_tokens", n_tokens(F.col(text_col))).where("n_tokens > 0")
+    kept = [c for c in docs.columns if c not in ("domain", "n_tokens", "epochs")]  # those names are the result's own
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("_id"), F.expr(domain).alias("domain"), "lang", "source", n_tokens(F.col(text_col)).alias("n_tokens")).where("n_tokens > 0")
     leaf = [F.col(c).alias(c) for c in LEVELS]
-    slim = materialize(rows.select(F.col(id_col).alias("_id"), *leaf, "n_tokens"), "tokens")  # read three times
+    slim = materialize(rows.select("_id", *leaf, "n_tokens"), "tokens")  # read three times
     found = budgets(slim.groupBy(*LEVELS).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), total, fraction, weights, max_epochs)
     plan = materialize(
         found.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), "docs", "tokens", "budget")
@@ -100,6 +101,6 @@ def mix(
         to_cut &= F.col(f"_{c}").eqNullSafe(F.col(f"c_{c}"))
         to_end &= F.col(f"_{c}").eqNullSafe(F.col(f"e_{c}"))
     cuts = materialize(plan.join(ends, to_end, "left").join(cut, to_cut, "left").drop(*(f"{a}_{c}" for a in "ec" for c in LEVELS)).coalesce(1), "cuts")
-    taken = rows.join(cuts, same).withColumn("h", place(F.col(id_col))).withColumn("bucket", bucket)
+    taken = rows.join(cuts, same).withColumn("h", place(F.col("_id"))).withColumn("bucket", bucket)
     more = F.col("end").isNull() | (F.col("bucket") < F.col("end")) | ((F.col("bucket") == F.col("end")) & F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)))
-    return taken.withColumn("epochs", F.col("full") + more.cast("long")).where("epochs > 0").select(*docs.columns, "domain", "n_tokens", "epochs")
+    return taken.withColumn("epochs", F.col("full") + more.cast("long")).where("epochs > 0").select("row.*", "domain", "n_tokens", "epochs")

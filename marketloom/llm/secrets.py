@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import materialize, salted_join
+from .storage import id_in, id_out, materialize, salted_join
 
 
 def _either_case(word: str) -> str:
@@ -65,7 +65,7 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 def update(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(paths, ledger): paths has (id, blob) of every version; ledger, with a row for each pair scanned so far (findings null if there are
     none), is the old one and the pairs that it lacked. Both are in the shared folder."""
-    table = versions.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    table = versions.select(id_in(versions, id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     paths = materialize(table.select("id", "blob"), "paths")
     once = paths.groupBy("blob").agg(F.min("id").alias("id"))
     old = empty_ledger(versions.sparkSession) if ledger is None else ledger
@@ -82,7 +82,7 @@ def findings(versions: DataFrame, ledger: DataFrame | None = None, id_col: str =
     paths, now = update(versions, ledger, id_col, text_col, rule_version)
     hits = now.where((F.col("rule_version") == rule_version) & F.col("findings").isNotNull()).select("blob", "findings")
     joined = salted_join(paths, hits, "blob", "id", "left")
-    return joined.select(F.col("id").alias(id_col), F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
+    return joined.select(id_out(versions, id_col), F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:

@@ -50,8 +50,11 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
-    """Enough shuffle partitions that each is of bounded size, however large the input is."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
+    """Enough shuffle partitions that each is of bounded size, however large the input is. Where Catalyst knows no size, it says a
+    very large one: four for each partition of the input are the most."""
+    known = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-input_bytes(df) // bytes_each)
+    return known if wanted <= known else max(known, min(wanted, 4 * df.rdd.getNumPartitions()))
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: str = "inner") -> DataFrame:
@@ -60,3 +63,16 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: s
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
     return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+
+
+NO_ID = (1 << 63) - 1
+
+
+def id_in(df: DataFrame, id_col: str):
+    """An id that joins: a null number counts as the largest there is."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) if dict(df.dtypes)[id_col] in ("int", "bigint", "smallint") else F.coalesce(F.col(id_col), F.lit("\0null"))
+
+
+def id_out(df: DataFrame, id_col: str):
+    kind = dict(df.dtypes)[id_col]
+    return F.nullif("id", F.lit(NO_ID) if kind in ("int", "bigint", "smallint") else F.lit("\0null")).cast(kind).alias(id_col)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize, salted_join
+from .storage import NO_ID, materialize, salted_join
 
 ARCHIVE_BYTES = 4 << 20
 PIECE = 1 << 16
@@ -125,8 +125,8 @@ def firsts(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Archives (archive, content) of one record a page; null html is empty. Rows that repeat an id are each written."""
-    table = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
+    """Archives (archive, content) of one record a page; null html is empty, a null id the largest. Rows that repeat an id are each written."""
+    table = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     joined = table.join(firsts(table, min_bytes), "id", "left")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def read(archives: DataFrame, content_col: str = "content", with_payload: bool =
                     h = r["head"]
                     again = h["warc-type"] == "revisit"
                     out.append({
-                        "page_id": number(h.get("warc-record-id")), "payload_bytes": int(r["http"].get("content-length", 0)) if again else len(r["payload"]), "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"),
+                        "page_id": None if (own := number(h.get("warc-record-id"))) == NO_ID else own, "payload_bytes": int(r["http"].get("content-length", 0)) if again else len(r["payload"]), "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"),
                         "record_type": h["warc-type"], "refers_to": number(h.get("warc-refers-to")), "url": h.get("warc-target-uri"), "verified": r["verified"],
                     } | ({"payload": r["payload"]} if with_payload else {}))
                     held += len(r["payload"]) if with_payload else 0
