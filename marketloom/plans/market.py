@@ -125,7 +125,7 @@ def _(v):
     return v.table("pages").select("page_id", T.normalize_url(F.col("url")).alias("clean"))
 
 
-@q("q_url_extract", r"SELECT page_id, array_to_string(list_transform(regexp_extract_all('see '||url||'. and <'||url||'>, end', '(https?://[^\s""''<>)\]]+)', 1), lambda x: regexp_replace(x,'[.,;:]+$','')),' ') AS urls FROM pages".replace('""', '"'))
+@q("q_url_extract", r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all('see '||url||'. and <'||url||'>, end', '(https?://[^\s"''<>)\]]+)', 1), lambda x: regexp_replace(x,'[.,;:]+$','')),' ') AS urls FROM pages""")
 def _(v):
     said = F.concat(F.lit("see "), "url", F.lit(". and <"), "url", F.lit(">, end"))
     return v.table("pages").select("page_id", F.array_join(T.urls_in(said), " ").alias("urls"))
