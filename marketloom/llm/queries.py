@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, contamination, jaccard, licenses, mixing, quality, repeats, secrets, urls, warc
+from . import classifier, contamination, jaccard, licenses, mixing, quality, repeats, secrets, sql, urls, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secret_scan, op10_quality_classifier,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_substring_dedup": sql.OP1, "op3_jaccard_join": sql.OP3, "op6_warc_round_trip": sql.OP6, "op8_decontamination": sql.OP8}
