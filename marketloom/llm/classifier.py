@@ -110,7 +110,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
     codes, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     p, chance = em(patterns, n)
-    posterior = cast.sparkSession.createDataFrame([(int(c), float(x)) for c, x in zip(codes, p)], "pattern long, p double")
+    posterior = cast.sparkSession.createDataFrame(pa.table({"pattern": codes.astype(np.int64), "p": p.astype(float)}))  # from Arrow: no Python worker of its own
     labelled = cast.join(F.broadcast(posterior), "pattern").withColumn("order", F.xxhash64("id"))
     sides = [labelled.where(side).orderBy("order", "id").limit(sample // 2) for side in ("p >= 0.5", "p < 0.5")]
     chosen = materialize(sides[0].unionAll(sides[1]).select("id", "p").coalesce(1), "sample")
