@@ -70,4 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secret_scan, op10_quality_classifier,
     )
 }
-ORACLES: dict[str, str] = {"op1_substring_dedup": sql.OP1, "op3_jaccard_join": sql.OP3, "op6_warc_round_trip": sql.OP6, "op8_decontamination": sql.OP8}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": sql.OP1, "op2_license_scan": sql.OP2, "op3_jaccard_join": sql.OP3, "op4_quality_rules": sql.OP4, "op6_warc_round_trip": sql.OP6,
+    "op8_decontamination": sql.OP8,
+}

@@ -1,8 +1,14 @@
-"""DuckDB SQL of the queries that SQL can state. Op2, op4, op5, op7, op9 and op10 have none: sketches, hashes of Spark's own, spans of
-regular expressions and trained weights are out of its reach or its bearable cost."""
+"""DuckDB SQL of the queries that SQL can state. Op5, op7, op9 and op10 have none: components over links in html,
+hashes of Spark's own, spans of regular expressions and trained weights are out of its reach or its bearable cost."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+
+from . import licenses, quality
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PRINTED, _LETTERS = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -83,3 +89,68 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(h, 0)::BIGINT AS n_
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(h, 0) > 0 AND 20 * coalesce(h, 0) >= coalesce(n, 0) AS contaminated
 FROM documents d LEFT JOIN totals t ON t.doc_id = d.doc_id LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
+
+_TERMS = [(label, sorted(set(t.split()))) for label, t in licenses.TEMPLATES.items()]
+_PHRASE = " ".join(f"WHEN {_following('doc_id', len(p.split()))[0]} = '{p}' THEN '{label}'" for p, label in licenses.PHRASES.items())
+OP2 = f"""
+WITH words AS ({_words("documents", "doc_id", True, _LETTERS)}),
+places AS (SELECT * FROM (SELECT doc_id, p, CASE {_PHRASE} END AS label FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE label IS NOT NULL),
+base AS (SELECT doc_id, count(*) AS k, min(p) AS a, max(p) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM places GROUP BY doc_id),
+templates (label, term, size, need) AS (VALUES {", ".join(f"('{k}', '{w}', {len(ws)}, {max(1, math.ceil(0.9 * len(ws) - 1e-9))})" for k, ws in _TERMS for w in ws)}),
+texts AS (SELECT doc_id, string_split({_LOWER.format("text")}, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM texts),
+terms AS (SELECT DISTINCT doc_id, i, unnest(regexp_extract_all(line, '{_LETTERS}')) AS term FROM lines),
+met AS (SELECT doc_id, label, count(*) / any_value(size) AS share FROM terms JOIN templates USING (term) GROUP BY doc_id, i, label HAVING count(*) >= any_value(need)),
+every AS (SELECT doc_id, label, 1.0::DOUBLE AS share FROM places UNION ALL SELECT doc_id, label, share FROM met),
+found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS ls, max(share) AS score FROM every GROUP BY doc_id),
+totals AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
+  coalesce(base.ls, '') AS base_labels, coalesce(found.ls, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM documents d LEFT JOIN totals t ON t.doc_id = d.doc_id LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
+"""
+
+
+def _fences(level: int) -> str:
+    """Fences of each group by language and source (2), language (1) or of all (0)."""
+    by = "".join(f"{c}, " for c in ("lang", "source")[:level])
+    g = quality.GAMMA
+    spread = " ".join(f"WHEN '{m}' THEN q75 + {s} * (q75 - q25) + {x}" for m, (_, s, x) in quality.RULES.items())
+    return f"""SELECT {by}max(size) AS size, {", ".join(f"max(CASE WHEN metric = '{m}' THEN fence END) AS f_{m}" for m in quality.RULES)} FROM (
+    SELECT {by}metric, size, CASE metric {spread} END AS fence FROM (
+      SELECT {by}metric, max(size) AS size, min(middle) FILTER (seen >= 0.25 * size) AS q25, min(middle) FILTER (seen >= 0.75 * size) AS q75 FROM (
+        SELECT {by}metric, CASE WHEN bucket = -1000 THEN 0 ELSE 2 * pow({g!r}::DOUBLE, bucket) / ({g!r}::DOUBLE + 1) END AS middle,
+          sum(n) OVER (PARTITION BY {by}metric) AS size, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS seen
+        FROM (SELECT {by}metric, bucket, count(*) AS n FROM buckets GROUP BY ALL)
+      ) GROUP BY ALL
+    )
+  ) {"GROUP BY ALL" if by else ""}"""
+
+
+_window, _over = _following("doc_id", 5)
+_METRICS = {m: f"coalesce({a.partition(' / ')[0]}::DOUBLE / nullif({a.partition(' / ')[2]}, 0), 0)" for m, (a, _, _) in quality.RULES.items()}
+OP4 = f"""
+WITH words AS ({_words("documents", "doc_id", False, _PRINTED)}),
+windows AS (SELECT doc_id, p, w, {_window} AS g FROM words {_over}),
+again AS (SELECT doc_id, p, w, g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 AS twice FROM windows),
+marked AS (SELECT doc_id, w, max(twice::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM again),
+totals AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS c, sum(hit) AS r FROM marked GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dups FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+          WHERE regexp_matches(line, '{_PRINTED}') GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, lang, source, coalesce(n, 0)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS n_upper
+  FROM documents d LEFT JOIN totals t ON t.doc_id = d.doc_id LEFT JOIN lines l ON l.doc_id = d.doc_id
+),
+metrics AS (SELECT *, {", ".join(f"{x} AS {m}" for m, x in _METRICS.items())} FROM counts),
+buckets AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, CASE WHEN {m} <= 1e-9 THEN -1000 ELSE ceil(ln({m}) / {float(np.log(quality.GAMMA))!r}::DOUBLE)::INT END AS bucket FROM metrics WHERE n_words > 0" for m in quality.RULES)}),
+own AS ({_fences(2)}),
+langs AS ({_fences(1)}),
+every AS ({_fences(0)}),
+judged AS (
+  SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    concat_ws(',', {", ".join(f"CASE WHEN m.{m} > coalesce(o.f_{m}, l.f_{m}, e.f_{m}) THEN '{m}' END" for m in quality.RULES)}) AS failed
+  FROM metrics m LEFT JOIN own o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source AND o.size >= {quality.MIN_GROUP}
+  LEFT JOIN langs l ON m.lang IS NOT DISTINCT FROM l.lang AND l.size >= {quality.MIN_GROUP} LEFT JOIN every e ON TRUE
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM judged
+"""
