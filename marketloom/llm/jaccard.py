@@ -38,7 +38,7 @@ from .words import PRINTED, Block, blocks, grams, mix
 
 SHINGLE = 5
 THRESHOLD = 75
-SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
+SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 14
 #: Parts of the hash by which shingles are counted for the bound.
 PROFILE_BITS = (6, 16)
 #: Centres of a run that its members meet by round; then in full.
@@ -112,11 +112,11 @@ def _classes(k: int):
     names = ["id", "n", "sig", "block", "counts", "profile"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for b in blocks(batch.column(1), PRINTED, lower=True):
                 found = list(sets_of(b, b.hashes(), k))
-                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 none = pa.nulls(b.n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), pa.array([len(s) for s in found], pa.int32()), pa.array([signature(s) for s in found], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array([profile(s) for s in found], pa.binary())], names)
         if counts.any():
@@ -133,17 +133,20 @@ def _added(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(SKETCH_BLOCK, np.int64)
     for x in cells["counts"]:
         total += np.frombuffer(zlib.decompress(x[1:]), {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[x[0]]).astype(np.int64)
-    return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
+    return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)]})
 
 
 def levels_of(sketch: DataFrame) -> np.ndarray:
-    """Level of each cell of the sketch: 0 for usual counts, then by powers of 2. A megabyte, whatever the corpus."""
+    """Level of each cell of the sketch, by how many deviations its count lies over the mean: four levels a deviation up to eight, then
+    four a power of 2. A shingle of few texts has level 0 as a rule; one that a passage brings to m texts rises as soon as m
+    exceeds the noise of a cell. 4 MB, whatever the corpus."""
     cells = sketch.groupBy("block").applyInPandas(_added, "block int, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.float32)
     for r in cells:
-        counts[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(bytes(r.counts), np.int64)
-    usual = counts.mean() + 6 * np.sqrt(counts.mean()) + 8
-    return np.where(counts <= usual, 0, 1 + np.log2(np.maximum(counts / usual, 1))).astype(np.uint8)
+        counts[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
+    mean = float(counts.mean(dtype=np.float64))
+    over = np.maximum(counts - mean, 0) / np.sqrt(max(mean, 1))
+    return np.minimum(np.where(over < 8, 4 * over, 32 + 4 * np.log2(np.maximum(over, 8) / 8)), 255).astype(np.uint8)
 
 
 def _postings(k: int, percent: int, levels, parts: int):
