@@ -6,7 +6,9 @@ class; classes link where their Jaccard similarity reaches the threshold. All of
 1. Global order. Shingles go from the rare to the frequent, by a sketch of their counts over all texts (SKETCH_BITS bits of
    hash, fixed size; ties by hash). Any order gives the same links; this one puts shared passages last.
 2. Candidates. Two linked sets share one of their first n - ceil(t n) + 1 shingles. Runs are the classes that have a shingle among
-   these.
+   these. Let s be the first that two sets share: what lies before s in either set is not shared, so their overlap is at most what
+   is left from s on; and the shingles right before s differ. A run passes on only pairs for which both hold, so that a
+   passage that many texts share brings a pair together once, not once a shingle.
 3. Rounds. Each class first meets the centre with which it shares most runs, then the members of its runs that no link
    has joined to it yet, a growing number of centres at a time, until each run is of one component or has been compared in
    full. Links within a component change nothing, so a large group of near copies costs about one comparison a member.
@@ -34,13 +36,16 @@ from pyspark.sql import functions as F
 from . import blobs
 from .components import components
 from .storage import discard, materialize, parts_for, salted_join
-from .words import PRINTED, Block, blocks, grams, mix
+from .words import MULTIPLIER, PRINTED, Block, blocks, grams, mix
 
 SHINGLE = 5
 THRESHOLD = 75
 SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 14
 #: Parts of the hash by which shingles are counted for the bound.
 PROFILE_BITS = (6, 16)
+#: Bits of a posting that hold its place in the set; the others tell the shingle before it.
+PLACE = np.uint64(0xFF)
+NAMES = ["kind", "a", "b", "n_a", "n_b", "part", "low", "prev"]
 #: Centres of a run that its members meet by round; then in full.
 CENTRES = (32, 1024)
 
@@ -149,17 +154,37 @@ def levels_of(sketch: DataFrame) -> np.ndarray:
     return np.minimum(np.where(over < 8, 4 * over, 32 + 4 * np.log2(np.maximum(over, 8) / 8)), 255).astype(np.uint8)
 
 
+def alone(sig: np.ndarray) -> np.ndarray:
+    """What stands for a shingle before, where a class has none: another number for each class."""
+    return mix(sig.view(np.uint64) + np.uint64(MULTIPLIER)) & ~PLACE
+
+
+def placed(own: np.ndarray, sig: int, n: int) -> np.ndarray:
+    """For each of a set's first shingles 56 bits that tell the shingle before it, and its place in 256ths of n, rounded down."""
+    before = np.concatenate((alone(np.array([sig], np.int64)), mix(own[:-1]) & ~PLACE))
+    return before | (np.arange(len(own)) * 256 // n).astype(np.uint64)
+
+
+def meets(n, p, m, q, percent: int):
+    """Whether classes of n and m shingles, with `placed` p and q, can have a run's shingle as the first that they share."""
+    fits = (p ^ q) & ~PLACE != 0
+    if percent:
+        left_n, left_m = n - ((p & PLACE).astype(np.int64) * n >> 8), m - ((q & PLACE).astype(np.int64) * m >> 8)
+        fits &= np.minimum(left_n, left_m) >= need(n, m, percent)
+    return fits
+
+
 def _postings(k: int, percent: int, levels, parts: int):
     """Each class's prefix shingles, once a task."""
 
     def send(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not found:
             return
-        key, sig, size = (np.concatenate(x) for x in zip(*found))
+        key, sig, size, prev = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(key, kind="stable")
         part = blobs.part_of_key(key[order], parts)
         # within a part, the low half of the shingle's hash; what meets wrongly is compared, and found not to link
-        yield from blobs.rows(part, 0, low=(key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), id=sig[order], pos=size[order])
+        yield from blobs.rows(part, 0, low=(key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), id=sig[order], pos=size[order], key=prev[order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held, seen, table = [], 0, set(), levels.value
@@ -171,7 +196,7 @@ def _postings(k: int, percent: int, levels, parts: int):
                         continue
                     seen.add(sig)
                     own = ordered(s, table)[: prefix_length(len(s), percent)]
-                    found.append((own, np.full(len(own), sig, np.int64), np.full(len(own), len(s), np.int32)))
+                    found.append((own, np.full(len(own), sig, np.int64), np.full(len(own), len(s), np.int32), placed(own, sig, len(s))))
                     held += len(own)
                 if held > blobs.FLUSH:
                     yield from send(found)
@@ -181,12 +206,17 @@ def _postings(k: int, percent: int, levels, parts: int):
     return run
 
 
-RUNS = "kind int, a long, b long, n_a int, n_b int, part int, low long"
+RUNS = "kind int, a long, b long, n_a int, n_b int, part int, low long, prev long"
+
+
+def _members_batch(sig, size, part, low, prev) -> pa.RecordBatch:
+    none = pa.nulls(len(sig))
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(sig), np.int32)), pa.array(sig), none.cast(pa.int64()), pa.array(size), none.cast(pa.int32()), pa.array(part.astype(np.int32)), pa.array(low.astype(np.int64)), pa.array(prev.view(np.int64))], NAMES)
 
 
 def _pairs_batch(a, b, n_a, n_b, weight) -> pa.RecordBatch:
     none = pa.nulls(len(a))
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b), pa.array(n_a.astype(np.int32)), pa.array(n_b.astype(np.int32)), none.cast(pa.int32()), pa.array(weight.astype(np.int64))], ["kind", "a", "b", "n_a", "n_b", "part", "low"])
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b), pa.array(n_a.astype(np.int32)), pa.array(n_b.astype(np.int32)), none.cast(pa.int32()), pa.array(weight.astype(np.int64)), none.cast(pa.int64())], NAMES)
 
 
 def summed(a, b, n_a, n_b) -> tuple[np.ndarray, ...]:
@@ -201,6 +231,17 @@ def close(n, m, percent: int):
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) if percent else True
 
 
+def once(low, sig, size, prev) -> tuple[np.ndarray, ...]:
+    """Each class once in a run, of rows in order of run and class. Where half a hash brings two of its shingles into one run, the
+    earlier place counts, and no shingle before."""
+    starts, n = blobs.runs(low, sig)
+    if len(starts) < len(low):
+        least, most = np.minimum.reduceat(prev, starts), np.maximum.reduceat(prev, starts)
+        place = np.minimum.reduceat(prev & PLACE, starts)
+        prev = np.where(least == most, least, alone(sig[starts]) | place)
+    return low[starts], sig[starts], size[starts], prev
+
+
 def _runs(percent: int):
     """Kind 1: members (a, n_a) of runs (part, low) of more than one class; kind 0: pairs of members with the run's first
     class, how many runs of the task have them in `low`."""
@@ -208,26 +249,22 @@ def _runs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
         for batch in batches:
-            for part, low, sig, size in zip(*(batch.column(c) for c in ("part", "low", "id", "pos"))):
-                found.setdefault(part.as_py(), []).append([np.frombuffer(x.as_buffer(), t) for x, t in ((low, np.uint32), (sig, np.int64), (size, np.int32))])
+            for part, low, sig, size, prev in zip(*(batch.column(c) for c in ("part", "low", "id", "pos", "key"))):
+                found.setdefault(part.as_py(), []).append([np.frombuffer(x.as_buffer(), t) for x, t in ((low, np.uint32), (sig, np.int64), (size, np.int32), (prev, np.uint64))])
         pairs = []
         for part, cells in found.items():
-            low, sig, size = (np.concatenate(x) for x in zip(*cells))
+            low, sig, size, prev = (np.concatenate(x) for x in zip(*cells))
             order = np.lexsort((sig, low))
-            low, sig, size = low[order], sig[order], size[order]
-            new = np.ones(len(low), bool)
-            new[1:] = (low[1:] != low[:-1]) | (sig[1:] != sig[:-1])
-            low, sig, size = low[new], sig[new], size[new]
+            low, sig, size, prev = once(low[order], sig[order], size[order], prev[order])
             starts, n = blobs.runs(low)
             many = np.repeat(n > 1, n)
             if not many.any():
                 continue
             first = np.repeat(starts, n)
-            low, sig, size, head, head_size, own = low[many], sig[many], size[many], sig[first][many], size[first][many], (np.arange(len(first)) != first)[many]
+            low, sig, size, prev, head, head_size, own = low[many], sig[many], size[many], prev[many], sig[first][many], size[first][many], (np.arange(len(first)) != first)[many]
             for i in range(0, len(sig), 100_000):
                 x = slice(i, i + 100_000)
-                none = pa.nulls(len(sig[x]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sig[x]), np.int32)), pa.array(sig[x]), none.cast(pa.int64()), pa.array(size[x]), none.cast(pa.int32()), pa.array(np.full(len(sig[x]), part, np.int32)), pa.array(low[x].astype(np.int64))], ["kind", "a", "b", "n_a", "n_b", "part", "low"])
+                yield _members_batch(sig[x], size[x], np.full(len(sig[x]), part), low[x], prev[x])
             own &= close(head_size, size, percent)
             pairs.append((head[own], sig[own], head_size[own], size[own]))
         if pairs:
@@ -237,17 +274,18 @@ def _runs(percent: int):
 
 
 def _meetings(percent: int, upto: int | None):
-    """From members (part, low, a, n_a, label) of whole runs: kind 0: pairs of the run's first `upto` members, by class, with later ones of
-    another label; kind 1: the runs that have more members than that, and more than one label."""
+    """From members (part, low, a, n_a, prev, label) of whole runs: kind 0: pairs of the run's first `upto` members, by class, with later
+    ones of another label that they can meet here first; kind 1: the runs that have more members than that, and more than one label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
         t = pa.Table.from_batches(got)
-        part, low, sig, size, label = (t.column(c).to_numpy() for c in ("part", "low", "a", "n_a", "label"))
+        part, low, sig, size, prev, label = (t.column(c).to_numpy() for c in ("part", "low", "a", "n_a", "prev", "label"))
         order = np.lexsort((sig, low, part))
-        part, low, sig, size, label = (x[order] for x in (part, low, sig, size, label))
+        part, low, sig, size, prev, label = (x[order] for x in (part, low, sig, size, prev, label))
+        prev, long_size = prev.view(np.uint64), size.astype(np.int64)
         starts, n = blobs.runs(part, low)
         left = np.zeros(len(sig), bool)
         pairs, held = [], 0
@@ -258,7 +296,8 @@ def _meetings(percent: int, upto: int | None):
             last = m - 1 if upto is None else min(upto, m - 1)
             left[s : s + m] = last < m - 1
             for c in range(last):
-                at = s + c + 1 + np.flatnonzero((own[c + 1 :] != own[c]) & close(size[s + c], size[s + c + 1 : s + m], percent))
+                later = slice(s + c + 1, s + m)
+                at = s + c + 1 + np.flatnonzero((own[c + 1 :] != own[c]) & close(long_size[s + c], long_size[later], percent) & meets(long_size[s + c], prev[s + c], long_size[later], prev[later], percent))
                 if len(at):
                     pairs.append((np.full(len(at), sig[s + c]), sig[at], np.full(len(at), size[s + c]), size[at]))
                     held += len(at)
@@ -268,8 +307,7 @@ def _meetings(percent: int, upto: int | None):
         if pairs:
             yield _pairs_batch(*summed(*(np.concatenate(x) for x in zip(*pairs))))
         if left.any():
-            none = pa.nulls(int(left.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(none), np.int32)), pa.array(sig[left]), none.cast(pa.int64()), pa.array(size[left]), none.cast(pa.int32()), pa.array(part[left]), pa.array(low[left])], ["kind", "a", "b", "n_a", "n_b", "part", "low"])
+            yield _members_batch(sig[left], size[left], part[left], low[left], prev[left])
 
     return run
 
@@ -363,8 +401,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     links, checked, members = _linked(pairs, texts, first_of, profiles, k, percent, levels), pairs, runs.where("kind = 1")
     labels = components(links, "a", "b")
     for upto in (*CENTRES, None):
-        now = salted_join(members.select("a", "n_a", "part", "low"), labels.withColumnRenamed("node", "a"), "a", "low", "left").withColumn("label", F.coalesce("component", "a"))
-        met = materialize(now.select("part", "low", "a", "n_a", "label").repartition(parts, "part", "low").mapInArrow(_meetings(percent, upto), RUNS), "runs")
+        now = salted_join(members.select("a", "n_a", "part", "low", "prev"), labels.withColumnRenamed("node", "a"), "a", "low", "left").withColumn("label", F.coalesce("component", "a"))
+        met = materialize(now.select("part", "low", "a", "n_a", "prev", "label").repartition(parts, "part", "low").mapInArrow(_meetings(percent, upto), RUNS), "runs")
         pairs = materialize(met.where("kind = 0").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
         more = None if pairs.isEmpty() else _linked(pairs, texts, first_of, profiles, k, percent, levels)
         if more is not None and not more.isEmpty():
