@@ -85,13 +85,17 @@ def bound(p: bytes, q: bytes) -> tuple[int, int, int] | None:
     return int(x.sum()), int(y.sum()), int(np.minimum(x, y).sum())
 
 
+def _may_link(p: bytes, q: bytes, percent: int) -> bool:
+    x = bound(p, q)
+    return x is None or x[2] >= need(x[0], x[1], percent)
+
+
 def _possible(percent: int):
     """Of rows (a, b, p, q), with their profiles, those whose overlap may be enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bound(p.as_py(), q.as_py()) for p, q in zip(batch.column("p"), batch.column("q"))]
-            keep = pa.array([x is None or x[2] >= need(x[0], x[1], percent) for x in found], pa.bool_())
+            keep = pa.array([_may_link(p.as_py(), q.as_py(), percent) for p, q in zip(batch.column("p"), batch.column("q"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
@@ -145,13 +149,14 @@ def levels_of(sketch: DataFrame) -> np.ndarray:
     """Level of each cell of the sketch, by how many deviations its count lies over the mean: four levels a deviation up to eight, then
     four a power of 2. A shingle of few texts has level 0 as a rule; one that a passage brings to m texts rises as soon as m
     exceeds the noise of a cell. 4 MB, whatever the corpus."""
-    cells = sketch.groupBy("block").applyInPandas(_added, "block int, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.float32)
-    for r in cells:
-        counts[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
-    mean = float(counts.mean(dtype=np.float64))
-    over = np.maximum(counts - mean, 0) / np.sqrt(max(mean, 1))
-    return np.minimum(np.where(over < 8, 4 * over, 32 + 4 * np.log2(np.maximum(over, 8) / 8)), 255).astype(np.uint8)
+    packed = {r.block: bytes(r.counts) for r in sketch.groupBy("block").applyInPandas(_added, "block int, counts binary").collect()}
+    cells = lambda x: np.frombuffer(zlib.decompress(x), np.uint32)  # noqa: E731  one block at a time, so that the driver holds little
+    mean = sum(int(cells(x).sum(dtype=np.int64)) for x in packed.values()) / (1 << SKETCH_BITS)
+    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for i, x in packed.items():
+        over = np.maximum(cells(x) - mean, 0) / np.sqrt(max(mean, 1))
+        levels[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK] = np.minimum(np.where(over < 8, 4 * over, 32 + 4 * np.log2(np.maximum(over, 8) / 8)), 255)
+    return levels
 
 
 def alone(sig: np.ndarray) -> np.ndarray:
@@ -273,9 +278,10 @@ def _runs(percent: int):
     return run
 
 
-def _meetings(percent: int, upto: int | None):
-    """From members (part, low, a, n_a, prev, label) of whole runs: kind 0: pairs of the run's first `upto` members, by class, with later
-    ones of another label that they can meet here first; kind 1: the runs that have more members than that, and more than one label."""
+def _meetings(percent: int, since: int, upto: int | None):
+    """From members (part, low, a, n_a, prev, label, profile) of whole runs: kind 0: pairs of the run's members from place `since` up to
+    `upto`, by class, with later ones of another label that they can meet here first, where their profiles (if not null) allow a
+    link; kind 1: a row for each run that has more members than that, and more than one label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -286,18 +292,21 @@ def _meetings(percent: int, upto: int | None):
         order = np.lexsort((sig, low, part))
         part, low, sig, size, prev, label = (x[order] for x in (part, low, sig, size, prev, label))
         prev, long_size = prev.view(np.uint64), size.astype(np.int64)
+        profiles = t.column("profile").take(pa.array(order))
         starts, n = blobs.runs(part, low)
-        left = np.zeros(len(sig), bool)
-        pairs, held = [], 0
+        left, pairs, held = [], [], 0
         for s, m in zip(starts.tolist(), n.tolist()):
             own = label[s : s + m]
             if (own == own[0]).all():
                 continue
             last = m - 1 if upto is None else min(upto, m - 1)
-            left[s : s + m] = last < m - 1
-            for c in range(last):
+            if last < m - 1:
+                left.append(s)
+            for c in range(since, last):
                 later = slice(s + c + 1, s + m)
                 at = s + c + 1 + np.flatnonzero((own[c + 1 :] != own[c]) & close(long_size[s + c], long_size[later], percent) & meets(long_size[s + c], prev[s + c], long_size[later], prev[later], percent))
+                if len(at) and profiles[s + c].is_valid:
+                    at = at[[_may_link(profiles[s + c].as_py(), profiles[x].as_py(), percent) for x in at.tolist()]]
                 if len(at):
                     pairs.append((np.full(len(at), sig[s + c]), sig[at], np.full(len(at), size[s + c]), size[at]))
                     held += len(at)
@@ -306,8 +315,8 @@ def _meetings(percent: int, upto: int | None):
                 pairs, held = [], 0
         if pairs:
             yield _pairs_batch(*summed(*(np.concatenate(x) for x in zip(*pairs))))
-        if left.any():
-            yield _members_batch(sig[left], size[left], part[left], low[left], prev[left])
+        if left:
+            yield _members_batch(sig[left], size[left], part[left], low[left], prev.view(np.uint64)[left])
 
     return run
 
@@ -400,17 +409,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     pairs = materialize(stars.withColumn("place", F.row_number().over(best)).where("place = 1").select("a", "b"), "pairs")
     links, checked, members = _linked(pairs, texts, first_of, profiles, k, percent, levels), pairs, runs.where("kind = 1")
     labels = components(links, "a", "b")
+    since = 0
     for upto in (*CENTRES, None):
         now = salted_join(members.select("a", "n_a", "part", "low", "prev"), labels.withColumnRenamed("node", "a"), "a", "low", "left").withColumn("label", F.coalesce("component", "a"))
-        met = materialize(now.select("part", "low", "a", "n_a", "prev", "label").repartition(parts, "part", "low").mapInArrow(_meetings(percent, upto), RUNS), "runs")
+        if since:  # few runs are left, with many pairs each: profiles come along, so that fewer pairs are made
+            chosen = materialize(first_of.join(members.select(F.col("a").alias("sig")).distinct(), "sig"), "chosen")
+            own = materialize(profiles.join(chosen, ["sig", "id"]).select(F.col("sig").alias("a"), "profile").dropDuplicates(["a"]), "own")
+            now = now.join(own, "a", "left")
+        else:
+            now = now.withColumn("profile", F.lit(None).cast("binary"))
+        met = materialize(now.select("part", "low", "a", "n_a", "prev", "label", "profile").repartition(parts, "part", "low").mapInArrow(_meetings(percent, since, upto), RUNS), "runs")
         pairs = materialize(met.where("kind = 0").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
         more = None if pairs.isEmpty() else _linked(pairs, texts, first_of, profiles, k, percent, levels)
         if more is not None and not more.isEmpty():
             links = materialize(links.unionAll(more), "links")
             labels = components(links, "a", "b")
-        members, checked = met.where("kind = 1"), checked.unionAll(pairs)
-        if members.isEmpty():
+        left, checked, since = materialize(met.where("kind = 1").select("part", "low"), "left"), checked.unionAll(pairs), upto
+        if left.isEmpty():
             break
+        members = materialize(members.join(left, ["part", "low"], "left_semi"), "members")
     named = first_of.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.col("id").alias("class_id"), F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     classes = salted_join(named, least, "component", "sig").select("sig", "class_id", "component_id")
