@@ -67,6 +67,25 @@ def test_licenses(docs, rows):
         assert set(filter(None, got[i].labels.split(","))) == found | {x[1] for x in at}
 
 
+def test_licenses_across_lines(spark):
+    wrapped = {
+        "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "bsd": " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided",
+        "apache": "Licensed\n\nunder the\n\nApache License\n\nVersion 2.0",  # across empty lines: a window
+        "cc0": "Dedicated to the\n # a\n # b c d e f\npublic domain under\nCC0 1.0",  # too far apart for a window: a paragraph
+    }
+    far = "Licensed under the\n\n" + "word\n\n" * 20 + "Apache License Version 2.0"
+    texts = [f"é one\n\n{t}\n\nlast" for t in wrapped.values()] + [None, "\n", far, "Released under the MIT License\nof old"]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)))
+    for i, label in enumerate(wrapped):
+        assert (got[i].labels, got[i].score) == (label, 1.0), label
+    assert [got[i].labels for i in range(6, 10)] == ["", "", "", "mit"]
+    assert [(x.first, x.last) for x in got[1].blocks] == [(2, 17), (2, 15)] and [(x.first, x.last) for x in got[4].blocks] == [(2, 9)]
+    assert [(x.first, x.last) for x in got[9].blocks] == [(0, 4), (0, 6)]
+
+
 def brute_components(rows, k=5, percent=75):
     sets = {}
     for i, t, *_ in rows:
