@@ -5,7 +5,8 @@ training texts; postings (term, document, position) of each window's two rarest
 by the terms' offsets in the window, are intersected: an equal start is a phrase candidate, which is then compared word
 by word with the whole text, and a start up to `slop` words off is a proximity match.
 
-The index folds case fully (so that it may only find too much); the comparison folds A-Z alone. Null texts have no words.
+Index and comparison fold A-Z alone: lower-casing by locale rules depends on the letters around (Greek sigma), so that a word by
+itself and the same word in its text could differ. Null texts have no words.
 """
 
 from __future__ import annotations
@@ -49,9 +50,9 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     else they are so many words nearer or further. Phrase matches are candidates still, for `contamination`."""
     table = docs.select(id_in(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     found = materialize(windows(items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), size), "windows")
-    terms = found.select("w", F.posexplode("words").alias("offset", "word")).select("w", "offset", F.lower("word").alias("term"))
+    terms = found.select("w", F.posexplode("words").alias("offset", "word")).select("w", "offset", F.col("word").alias("term"))
     vocabulary = materialize(terms.select("term").distinct(), "terms")
-    tokens = table.select("id", F.posexplode(split_words(F.lower("text"))).alias("pos", "term"))
+    tokens = table.select("id", F.posexplode(split_words(fold(F.col("text")))).alias("pos", "term"))
     n = vocabulary.count()
     counts = tokens.select("term").join(_hint(vocabulary, n), "term").groupBy("term").agg(F.count("*").alias("n"))
     ranked = terms.join(counts, "term", "left").groupBy("w").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))), 1, 2).alias("rare"))

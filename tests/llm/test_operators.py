@@ -190,6 +190,13 @@ def test_contamination(spark, docs, rows):
         assert (r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) == (len(w), len(hit), len(found), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)), i
 
 
+def test_contamination_by_letters_whose_case_depends_on_others(spark):
+    passage = "Π.Α.Σ. εδώ ΝΟΜΟΣ.ΑΡΘΡΟ Σ Σ'Α Στ.Σ: İΣ"
+    table = spark.createDataFrame([(1, passage), (2, f"one {passage} TWO"), (3, passage.replace("εδώ", "Εδώ"))], "doc_id long, text string")
+    got = by_id(contamination.contamination(table, spark.createDataFrame([(7, passage), (8, "Two")], "item_id long, text string")))
+    assert [(got[i].n_hit, got[i]["items"], got[i].contaminated) for i in (1, 2, 3)] == [(12, ["7"], True), (13, ["7", "8"], True), (0, [], False)]
+
+
 def test_secrets(docs, rows):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     got = by_id(secrets.findings(docs))
