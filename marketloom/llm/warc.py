@@ -117,17 +117,18 @@ def records(pieces: Iterable[bytes]) -> Iterator[dict]:
 
 
 def firsts(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(id, refers_to): pages whose payload another, with a smaller id, has too. Payloads are compared by digest; only
+    """(id, sum, refers_to): pages (by id and digest) whose payload another, with a smaller id, has too. Payloads are compared by digest; only
     digests move, and a payload that very many pages share is counted map-side and joined back in pieces."""
-    sums = pages.select("id", F.sha1("html").alias("sum"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
+    sums = pages.select("id", "sum", F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
     shared = sums.groupBy("sum").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return salted_join(sums, shared, "sum", "id").where("id <> refers_to").select("id", "refers_to").distinct()
+    return salted_join(sums, shared, "sum", "id").where("id <> refers_to").select("id", "sum", "refers_to").distinct()
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Archives (archive, content) of one record a page; null html is empty, a null id the largest. Rows that repeat an id are each written."""
     table = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    joined = table.join(firsts(table, min_bytes), "id", "left")
+    table = table.withColumn("sum", F.sha1("html"))
+    joined = table.join(firsts(table, min_bytes), ["id", "sum"], "left")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, content = None, bytearray()

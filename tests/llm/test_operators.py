@@ -152,6 +152,15 @@ def test_warc(spark, tmp_path):
         list(warc.records([one[:-9]]))
 
 
+def test_warc_rows_that_share_an_id(spark):
+    pages = [(1, "a", "same"), (2, "b", "more"), (None, "c", "same"), (None, "d", "unique"), (5, "e", "same"), (5, "f", "more"), (5, "g", "own")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = warc.read(warc.write(table), with_payload=True).collect()
+    got = {r.url: (r.page_id, r.record_type, r.refers_to, bytes(r.payload)) for r in rows}
+    revisits = {"c": 1, "e": 1, "f": 2}
+    assert len(rows) == len(pages) and got == {u: (i, "revisit", revisits[u], b"") if u in revisits else (i, "response", None, h.encode()) for i, u, h in pages}
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs, fraction=0.5).collect()
     tokens = {i: len((t or "").encode().split()) for i, t, *_ in rows}
