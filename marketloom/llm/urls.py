@@ -37,10 +37,23 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return found
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root, with `.` and `..` segments resolved."""
+    parts = F.split(path, "/")
+    done = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array(F.lit("")),
+        lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(x))),
+    )
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.rlike(r"(?s)^/(.*/)?\.\.?(/|$)"), F.array_join(F.concat(done, end), "/")).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """Url without fragment, scheme and host lower-cased: what redirects and canonical links point at."""
+    """Url without fragment and dot segments, scheme and host lower-cased: what redirects and canonical links point at."""
     head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.concat(F.translate(head, UPPER, LOWER), F.regexp_replace(F.substring(url, F.length(head) + 1, F.length(url)), r"(?s)#.*", ""))
+    rest = F.regexp_replace(F.substring(url, F.length(head) + 1, F.length(url)), r"(?s)#.*", "")
+    path = F.when(head != "", without_dots(F.regexp_extract(rest, r"(?s)^([^?]*)", 1))).otherwise(F.regexp_extract(rest, r"(?s)^([^?]*)", 1))
+    return F.concat(F.translate(head, UPPER, LOWER), path, F.regexp_extract(rest, r"(?s)^[^?]*(.*)", 1))
 
 
 def resolved(base: Column, link: Column) -> Column:
@@ -49,7 +62,7 @@ def resolved(base: Column, link: Column) -> Column:
     root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     return (
-        F.when(link.isNull() | (link == ""), None).when(link.contains("://"), link)
+        F.when(link.isNull() | (link == ""), None).when(link.rlike(r"^[^/?#]*://"), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
         .when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link))
     )
@@ -57,11 +70,11 @@ def resolved(base: Column, link: Column) -> Column:
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): nodes that are one page by canonical link or meta refresh. Pages without such a tag, a url or html give none."""
-    tag = F.regexp_extract(F.col("html"), r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    canonical = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(F.col("html"), r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1))
+    canonical = F.transform(tags, lambda tag: F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    meta = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))
     some = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(F.col("html").rlike(r"(?i)\bcanonical\b|\brefresh\b") & F.col("url").contains("://"))
-    links = some.select("url", F.explode(F.array(canonical, meta)).alias("link"))
+    links = some.select("url", F.explode(F.concat(canonical, meta)).alias("link"))
     return links.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), F.col("link"))).alias("b")).where("a <> b")
 
 

@@ -138,6 +138,21 @@ def test_urls(spark):
     assert [alone[i].verdict for i in (1, 5, 6)] == ["block"] * 3 and alone[6].via == "alias"
 
 
+def test_url_aliases(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    pages = spark.createDataFrame([
+        (1, "http://a.net/x", None), (2, "http://c.com/b/", None), (3, "http://d.com/", '<link rel="canonical">' + link.format("http://a.net/x")),
+        (4, "http://e.com/p/q/r", refresh.format("http://f.com/") + refresh.format("http://a.net/x")), (5, "http://g.com/p/q/r?../a", link.format(".././../s/./t/..")), (6, "http://g.com/s/", refresh.format("http://a.net/x")),
+        (7, "http://h.com/p/q", link.format("r?u=http://a.net/x")), (8, "http://h.com/p/r?u=http://a.net/x", refresh.format("http://a.net/y/../../x")), (9, "http://i.com/../.x/..y/", link.format("http://i.com/.x/..y/")),
+        (10, "http://i.com/.x/..y/", refresh.format("//a.net/x")), (11, "http://j.com/a/../b?c=/../d", None), (12, None, link.format("../x")), (13, "../x", link.format("http://a.net/x")),
+    ], "page_id long, url string, html string")
+    got = by_id(urls.judge(pages), "page_id")
+    assert {i for i, r in got.items() if r.via == "alias" and r.verdict == "block"} == {3, 4, 5, 6, 7, 8, 9, 10}
+    assert {i for i, r in got.items() if r.via == "default"} == {2, 11, 12, 13} and (got[11].path, len(got)) == ("/a/../b", 13)
+    edges = {(r.a, r.b) for r in urls.alias_edges(pages).collect()}
+    assert {("http://d.com/", "http://a.net/x"), ("http://e.com/p/q/r", "http://f.com/"), ("http://e.com/p/q/r", "http://a.net/x"), ("http://h.com/p/q", "http://h.com/p/r?u=http://a.net/x")} <= edges
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(3, "http://a/\r\n b", "same"), (1, None, "same"), (2, "u", None), (4, "u", ""), (5, "ü", "é" * 200_000), (None, "n", "same")], "page_id long, url string, html string")
     got = by_id(warc.round_trip(pages), "page_id")
