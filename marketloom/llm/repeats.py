@@ -1,10 +1,9 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by seeds and window hashes, which stand in for pairwise extension.
 
 Seeds: of each `window` consecutive words the `window - anchor + 1` runs of `anchor` words are hashed, and the least
 hash is its anchor (winnowing), so equal windows have equal anchors. Anchors that stand at one place only are dropped.
-Extension: around an anchor that is left, the windows that chose it are compared with their equals
-elsewhere, to the left and right as far as windows go; windows that follow one another merge to the maximal repeat, which
-is as long as `window` words at least. Of equal windows the first, by document and position, stays.
+Windows: those that chose an anchor that is left are grouped by hash. No match is aligned or extended, and spans have no partner: removed
+windows of a document that follow one another or touch merge to one span, which is as long as `window` words at least. Of equal windows the first, by document and position, stays.
 
 A task sends each of its anchors and windows once, so a passage that is everywhere costs as many records as there are tasks.
 Equal windows are told by 96 bits of hash. Ids are integers and name a text each: rows that repeat an id and its text get the
