@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,12 @@ SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; only where none is set (tests on one machine), one of our own."""
+    """The cluster's `spark.checkpoint.dir`. Where none is set: one of our own if all runs in this process, else an error, since executors
+    would each write to a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return folder.rstrip("/")
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -29,17 +31,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()  # what was shuffled for it can go now
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _STORED.append(path)
     return out
 
 
+#: Tables of this process that no one has removed.
+_STORED: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if path in _STORED:
+        _STORED.remove(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes every table that operators have left in the shared folder. Results are lazy and read some of them: call it when
+    they have been written."""
+    for path in list(_STORED):
+        _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that no later step reads, and lets Spark drop the shuffles behind them."""
     for df in tables:
         path = getattr(df, "_stored_at", None)
         if path:
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            _delete(df.sparkSession, path)
     if tables:
         tables[0].sparkSession._jvm.System.gc()
 

@@ -6,6 +6,7 @@ Texts are taken whole; a block only groups texts so that the arrays stay small.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+LONG_WORD = 32
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 SECOND_MULTIPLIER = 0xC2B2AE3D27D4EB4F | 1
 _BYTE = np.arange(256)
@@ -93,7 +95,8 @@ def cut(first: int, data: np.ndarray, edges: np.ndarray, table: np.ndarray) -> B
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits for each word: a polynomial over its bytes by prefix sums, in pieces of bounded size."""
+    """64 bits for each word: a polynomial over its bytes by prefix sums, in pieces of bounded size; a word over LONG_WORD bytes by
+    BLAKE2, since polynomials modulo a power of 2 can't tell some long words (Thue-Morse sequences) from each other."""
     out = np.empty(len(starts), np.uint64)
     power = inverse = np.zeros(0, np.uint64)
     i = 0
@@ -107,7 +110,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * power[: b - a], out=sums[1:])
         out[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * inverse[starts[i:j] - a]
         i = j
-    return mix(out)
+    out = mix(out)
+    for w in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[w] = int.from_bytes(hashlib.blake2b(data[starts[w] : ends[w]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def powers(base: int, n: int) -> np.ndarray:
