@@ -48,6 +48,8 @@ PLACE = np.uint64(0xFF)
 HOT, GUESTS = 1 << 15, 32
 #: Shingles of a chunk's sets: 8 MB.
 CHUNK = 1 << 20
+#: Of the table that tells which texts are wanted: 4 MB.
+TABLE_BITS = 1 << 25
 #: Pairs that a task holds before it sends them.
 HELD = 500_000
 
@@ -334,20 +336,43 @@ def _meetings(percent: int):
     return run
 
 
+def _some(bits):
+    """Of the texts (id, text, tid), those whose hash the fixed bit table has: all that are wanted, and a few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy() & (TABLE_BITS - 1)
+            yield batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
+def _bits_of(tids: DataFrame) -> np.ndarray:
+    """The bit table of hashes: 4 MB, whatever their number."""
+    at = F.col("tid").bitwiseAND(F.lit(TABLE_BITS - 1)) + 1
+    rows = tids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    table = np.zeros(TABLE_BITS // 8, np.uint8)
+    for r in rows:
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        table[(r["n"] - 1) * len(own) : r["n"] * len(own)] = own
+    return table
+
+
 def _sets(k: int, levels):
-    """(sig, path): a set from its most frequent shingle to its rarest, in bytes that sort like the numbers."""
+    """(sig, path, to): a set from its most frequent shingle to its rarest, in bytes that sort like the numbers, and the chunks it goes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = levels.value[0], set()
         for batch in batches:
             for b in blocks(batch.column(1), PRINTED, lower=True):
-                sigs, found = batch.column(0).slice(b.first, b.n).to_pylist(), []
-                for sig, s in zip(sigs, sets_of(b, b.hashes(), k)):
+                sigs, found, at = batch.column(0).slice(b.first, b.n).to_pylist(), [], []
+                for i, (sig, s) in enumerate(zip(sigs, sets_of(b, b.hashes(), k))):
                     # the signature tells the text of the class from another that has its id; a repeated row is sent once
                     if len(s) and sig not in seen and signature(s) == sig:
                         seen.add(sig)
                         found.append((sig, ordered(s, table)[::-1].astype(">u8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["sig", "path"])
+                        at.append(b.first + i)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary()), batch.column(2).take(pa.array(at, pa.int64()))], ["sig", "path", "to"])
 
     return run
 
@@ -487,11 +512,15 @@ def _chunked(groups: DataFrame) -> DataFrame:
     return salted_join(groups, size, "head", "b").select("head", "b", "chunks", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
 
 
-def _links(groups: DataFrame, sets: DataFrame, percent: int, full: bool) -> DataFrame:
-    """Links in groups (head, b, chunk, chunks), by trees of the members' sets and the head's."""
-    heads = groups.groupBy("head").agg(F.max("chunks").alias("chunks")).select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("head").alias("sig"))
-    rows = groups.select("head", "chunk", F.col("b").alias("sig")).unionByName(heads).join(sets, "sig").select("head", "chunk", "sig", "path")
-    n = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_for(rows))
+def _places(groups: DataFrame) -> DataFrame:
+    """(sig, head, chunk) of groups (head, b, chunk, chunks): where each class's set goes; the head's to all its chunks."""
+    heads = groups.groupBy("head").agg(F.max("chunks").alias("chunks")).select(F.col("head").alias("sig"), "head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    return groups.select(F.col("b").alias("sig"), "head", "chunk").unionByName(heads)
+
+
+def _links(rows: DataFrame, percent: int, full: bool) -> DataFrame:
+    """Links in the chunks of (head, chunk, sig, path), by trees of their sets."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_for(rows))
     return rows.repartition(n, "head", "chunk").sortWithinPartitions("head", "chunk", "path", "sig").mapInArrow(_walk(percent, full), "a long, b long")
 
 
@@ -522,17 +551,22 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     groups = materialize(_chunked(heads), "blocks")
     members = runs.where("kind = 1").select("a", "n_a", "part", "low", "slice", "slices", "prev")
     # sets of what is in a block or a run, once
-    some = groups.select(F.col("b").alias("sig")).union(groups.select("head")).union(members.select("a")).distinct()
+    places = _places(groups).groupBy("sig").agg(F.collect_list(F.struct("head", "chunk")).alias("to"))
+    none = F.array().cast("array<struct<head:bigint,chunk:int>>")
+    some = members.select(F.col("a").alias("sig")).distinct().join(places, "sig", "full").withColumn("to", F.coalesce("to", none))
     chosen = materialize(first_of.join(some, "sig"), "chosen")
-    sets = materialize(texts.join(chosen, ["id", "tid"]).select("sig", "text").mapInArrow(_sets(k, levels), "sig long, path binary"), "sets")
-    links = materialize(_links(groups, sets, percent, True), "links")
+    bits = spark.sparkContext.broadcast(_bits_of(chosen))
+    few = texts.mapInArrow(_some(bits), "id long, text string, tid long")
+    sets = materialize(few.join(chosen, ["id", "tid"]).select("sig", "text", "to").mapInArrow(_sets(k, levels), "sig long, path binary, to array<struct<head:bigint,chunk:int>>"), "sets")
+    links = materialize(_links(sets.select("sig", "path", F.explode("to").alias("at")).select("at.head", "at.chunk", "sig", "path"), percent, True), "links")
     labels = components(links, "a", "b")
     told = groups.select(F.col("b").alias("a"), "head", "chunk").join(labels.select(F.col("node").alias("a"), "component"), "a", "full")
     now = members.join(told, "a", "left").withColumn("label", F.coalesce("component", "a")).withColumn("head", F.coalesce("head", "a")).withColumn("chunk", F.coalesce("chunk", F.lit(0))).drop("component")
     met = _spread(now).repartition(parts, "part", "low", "slice").mapInArrow(_meetings(percent), RUNS)
     pairs = materialize(met.groupBy("a", "b").agg(F.max("n_b").alias("n_b")).withColumnRenamed("a", "head"), "pairs")
     if not pairs.isEmpty():
-        more = materialize(_links(materialize(_chunked(pairs), "rest"), sets, percent, False), "more")
+        rest = _places(materialize(_chunked(pairs), "rest")).join(sets.select("sig", "path"), "sig").select("head", "chunk", "sig", "path")
+        more = materialize(_links(rest, percent, False), "more")
         if not more.isEmpty():
             labels = components(links.unionAll(more), "a", "b")
     discard(runs, groups, chosen, sets, pairs)
