@@ -29,7 +29,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,18 +109,24 @@ def _classes(k: int):
     return run
 
 
-def _added(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SKETCH_BLOCK, np.int64)
-    for x in cells["counts"]:
-        total += np.frombuffer(zlib.decompress(x[1:]), {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[x[0]]).astype(np.int64)
-    return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)]})
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the sketch's blocks, of which a task has all cells."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = x.as_buffer().to_pybytes()
+            cells = np.frombuffer(zlib.decompress(x[1:]), {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[x[0]])
+            total[block] = total.get(block, 0) + cells.astype(np.int64)
+    if total:
+        packed = [zlib.compress(np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
 
 
 def levels_of(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Level of each cell of the sketch, by how many deviations its count lies over the mean: four levels a deviation up to eight, then
     four a power of 2. A shingle of few texts has level 0 as a rule; one that a passage brings to m texts rises as soon as m
     exceeds the noise of a cell. 4 MB, whatever the corpus. And in how many slices the runs of each level are dealt."""
-    packed = {r.block: bytes(r.counts) for r in sketch.groupBy("block").applyInPandas(_added, "block int, counts binary").collect()}
+    packed = {r.block: bytes(r.counts) for r in sketch.repartition("block").mapInArrow(_added, "block int, counts binary").collect()}
     cells = lambda x: np.frombuffer(zlib.decompress(x), np.uint32)  # noqa: E731  one block at a time, so that the driver holds little
     mean = sum(int(cells(x).sum(dtype=np.int64)) for x in packed.values()) / (1 << SKETCH_BITS)
     levels, deviation = np.zeros(1 << SKETCH_BITS, np.uint8), np.sqrt(max(mean, 1))
@@ -198,10 +203,10 @@ def _postings(k: int, percent: int, levels, parts: int):
                     if sig is None or sig in seen:
                         continue
                     seen.add(sig)
-                    own = ordered(s, table)[: prefix_length(len(s), percent)]
+                    own = ordered(s, table)[: prefix_length(len(s), percent)].copy()
                     found.append((own, np.full(len(own), sig, np.int64), np.full(len(own), len(s), np.int32), placed(own, sig, len(s))))
                     held += len(own)
-                if held > blobs.FLUSH:
+                if held > HELD:
                     yield from send(found)
                     found, held = [], 0
         yield from send(found)
@@ -512,16 +517,18 @@ def _chunked(groups: DataFrame) -> DataFrame:
     return salted_join(groups, size, "head", "b").select("head", "b", "chunks", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
 
 
-def _places(groups: DataFrame) -> DataFrame:
-    """(sig, head, chunk) of groups (head, b, chunk, chunks): where each class's set goes; the head's to all its chunks."""
+def _links(groups: DataFrame, texts: DataFrame, first_of: DataFrame, k: int, percent: int, levels, full: bool) -> DataFrame:
+    """Links in the chunks of groups (head, b, chunk, chunks), by trees of their sets. Of the texts only those of the groups' classes are
+    shuffled; a set is made from its text in the task that sends it to its chunks, the head's to all of them."""
     heads = groups.groupBy("head").agg(F.max("chunks").alias("chunks")).select(F.col("head").alias("sig"), "head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    return groups.select(F.col("b").alias("sig"), "head", "chunk").unionByName(heads)
-
-
-def _links(rows: DataFrame, percent: int, full: bool) -> DataFrame:
-    """Links in the chunks of (head, chunk, sig, path), by trees of their sets."""
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_for(rows))
-    return rows.repartition(n, "head", "chunk").sortWithinPartitions("head", "chunk", "path", "sig").mapInArrow(_walk(percent, full), "a long, b long")
+    places = groups.select(F.col("b").alias("sig"), "head", "chunk").unionByName(heads)
+    chosen = materialize(first_of.join(places.groupBy("sig").agg(F.collect_list(F.struct("head", "chunk")).alias("to")), "sig"), "chosen")
+    bits = groups.sparkSession.sparkContext.broadcast(_bits_of(chosen))
+    # merged in any case, so that no task runs two Python steps at once
+    few = texts.mapInArrow(_some(bits), "id long, text string, tid long").join(chosen.hint("merge"), ["id", "tid"])
+    sets = few.select("sig", "text", "to").mapInArrow(_sets(k, levels), "sig long, path binary, to array<struct<head:bigint,chunk:int>>")
+    rows = sets.select("sig", "path", F.explode("to").alias("at")).select("at.head", "at.chunk", "sig", "path")
+    return rows.repartition("head", "chunk").sortWithinPartitions("head", "chunk", "path", "sig").mapInArrow(_walk(percent, full), "a long, b long")
 
 
 def _spread(members: DataFrame) -> DataFrame:
@@ -550,26 +557,17 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     heads = votes.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("head"), F.max("n_b").alias("n_b"))
     groups = materialize(_chunked(heads), "blocks")
     members = runs.where("kind = 1").select("a", "n_a", "part", "low", "slice", "slices", "prev")
-    # sets of what is in a block or a run, once
-    places = _places(groups).groupBy("sig").agg(F.collect_list(F.struct("head", "chunk")).alias("to"))
-    none = F.array().cast("array<struct<head:bigint,chunk:int>>")
-    some = members.select(F.col("a").alias("sig")).distinct().join(places, "sig", "full").withColumn("to", F.coalesce("to", none))
-    chosen = materialize(first_of.join(some, "sig"), "chosen")
-    bits = spark.sparkContext.broadcast(_bits_of(chosen))
-    few = texts.mapInArrow(_some(bits), "id long, text string, tid long")
-    sets = materialize(few.join(chosen, ["id", "tid"]).select("sig", "text", "to").mapInArrow(_sets(k, levels), "sig long, path binary, to array<struct<head:bigint,chunk:int>>"), "sets")
-    links = materialize(_links(sets.select("sig", "path", F.explode("to").alias("at")).select("at.head", "at.chunk", "sig", "path"), percent, True), "links")
+    links = materialize(_links(groups, texts, first_of, k, percent, levels, True), "links")
     labels = components(links, "a", "b")
     told = groups.select(F.col("b").alias("a"), "head", "chunk").join(labels.select(F.col("node").alias("a"), "component"), "a", "full")
     now = members.join(told, "a", "left").withColumn("label", F.coalesce("component", "a")).withColumn("head", F.coalesce("head", "a")).withColumn("chunk", F.coalesce("chunk", F.lit(0))).drop("component")
     met = _spread(now).repartition(parts, "part", "low", "slice").mapInArrow(_meetings(percent), RUNS)
     pairs = materialize(met.groupBy("a", "b").agg(F.max("n_b").alias("n_b")).withColumnRenamed("a", "head"), "pairs")
     if not pairs.isEmpty():
-        rest = _places(materialize(_chunked(pairs), "rest")).join(sets.select("sig", "path"), "sig").select("head", "chunk", "sig", "path")
-        more = materialize(_links(rest, percent, False), "more")
+        more = materialize(_links(materialize(_chunked(pairs), "rest"), texts, first_of, k, percent, levels, False), "more")
         if not more.isEmpty():
             labels = components(links.unionAll(more), "a", "b")
-    discard(runs, groups, chosen, sets, pairs)
+    discard(runs, groups, pairs)
     named = first_of.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.col("id").alias("class_id"), "tid", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min(F.struct("class_id", "tid")).alias("least"))
     classes = salted_join(named, least, "component", "sig").select("sig", "class_id", "tid", F.col("least.class_id").alias("component_id"), F.col("least.tid").alias("head_tid"))
