@@ -1,19 +1,18 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a paragraph (lines up to an empty one), or a window of as many words as the template's own
-number over the threshold, wherever lines end, so that wrapped texts are found too. Its containment in a template's terms is the share
-of the template's distinct words that it has; every block at or over the threshold is found, by these filters:
+A block is a window of a text, wherever its lines end, of as many words as the template has over the threshold, that begins and ends with a
+word of the template. Its containment is the share of the template's distinct words that it has; every block at or over the threshold is
+found, by these filters, and of those that overlap the fullest is told, the first of equal ones:
 
 - global order: template words from the rarest to the most frequent in the whole corpus;
 - prefix: a block that reaches the threshold has one of a template's first n - need + 1 words;
-- length: it has `need` distinct words at least;
+- length: it has `need` distinct words at least, and no more words than the template's number over the threshold, so that the words of a
+  template scattered over a long line or paragraph are no match;
 - position: from its first prefix word on, the template must still have `need` words left.
 
-Paragraphs of one line are told as the line alone, and windows only if they cross a line's end: a line that holds a window has
-its words. A window begins and ends with a word of the template; of those that overlap the fullest is told, the first of equal ones. `llm/sql.py`
-states lines alone: it differs where only a wrapped text meets a template.
-
-Null texts are empty, and empty texts have no block. Templates are a parameter of fixed, small size.
+Handling: null texts are empty, and empty texts have no block. Each row is judged by its own text, with a repeated id or a null one too. A very
+long text is one run of words like any other. Ties: see above. An empty table gives an empty result. Columns beyond id and text are not read,
+whatever their names. Templates are a parameter of fixed, small size.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import LETTERS, PRINTED, blocks
+from .words import LETTERS, blocks
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -78,8 +77,8 @@ class _Template:
         self.place = {h: i for i, h in enumerate(terms)}
         self.prefix = terms[: len(terms) - self.need + 1]
 
-    def windows(self, h: np.ndarray, line: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(first word, last word, how many terms) of windows of a text that reach `need` and cross a line's end."""
+    def windows(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(first word, last word, how many terms) of windows of a text that reach `need`."""
         at = np.flatnonzero(np.isin(h, self.terms))
         here, end = np.arange(len(at)), np.searchsorted(at, at + self.size)
         n = np.zeros(len(at), np.int64)
@@ -87,13 +86,18 @@ class _Template:
             own = np.flatnonzero(h[at] == x)
             n += np.searchsorted(own, end) > np.searchsorted(own, here)
         last = at[end - 1]
-        good = np.flatnonzero((n >= self.need) & (line[at] != line[last]))
+        good = np.flatnonzero(n >= self.need)
         for run in np.split(good, np.flatnonzero(at[good[1:]] > last[good[:-1]]) + 1):
             if len(run):
                 best = run[np.argmax(n[run])]
                 yield int(at[best]), int(last[best]), int(n[best])
 
 
+def _by_row(row: np.ndarray, hits: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    some, begin = np.unique(row, return_index=True)
+    return some.tolist(), np.split(hits, begin[1:])
+
+
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None,
     templates: dict[str, str] | None = None, threshold: float = 0.9,
@@ -111,8 +115,8 @@ def scan(
     seeds = np.array(sorted(by_term), np.uint64)
     terms = [(label, _words(p)[1]) for p, label in phrases.items()]
 
-    def met(have: np.ndarray, found: set[int]) -> Iterator[tuple[_Template, int]]:
-        """Templates of which these words, with the prefix words among them, reach `need`, and how many terms they have."""
+    def met(have: np.ndarray, found: set[int]) -> Iterator[_Template]:
+        """Templates of which these words, with the prefix words among them, reach `need`."""
         candidates: dict[int, int] = {}
         for x in found:
             for i in by_term[x]:
@@ -121,9 +125,8 @@ def scan(
             t = made[i]
             if len(have) < t.need or len(t.terms) - place < t.need:
                 continue
-            n = int(np.isin(t.terms[place:], have).sum())
-            if n >= t.need:
-                yield t, n
+            if int(np.isin(t.terms[place:], have).sum()) >= t.need:
+                yield t
 
     def found_blocks(b, h: np.ndarray) -> Iterator[tuple[int, str, int, int, float]]:
         """(row, label, first word, last word, containment), words counted from the row's first."""
@@ -131,26 +134,11 @@ def scan(
         hits = np.flatnonzero(seeds[at] == h)
         if not len(hits):
             return
-        lines = np.union1d(np.flatnonzero(b.data == 10), b.edges)
-        line = np.searchsorted(lines, b.starts, "right")
-        inked = np.concatenate(([0], np.cumsum(PRINTED[b.data])))
-        blank = np.diff(inked[np.append(lines, len(b.data))]) == 0
-        texts = np.unique(b.edges)
-        for cuts in (lines, lines[blank | np.isin(lines, texts)], texts):
-            first = np.append(np.searchsorted(b.starts, cuts), len(h))
-            some, begin = np.unique(np.searchsorted(cuts, b.starts[hits], "right") - 1, return_index=True)
-            for k, own in zip(some, np.split(hits, begin[1:])):
-                lo, hi = int(first[k]), int(first[k + 1])
-                if cuts is not lines and line[lo] == line[hi - 1]:
-                    continue
-                row = int(np.searchsorted(b.bounds, lo, "right")) - 1
-                start = lo - int(b.bounds[row])
-                for t, n in met(np.unique(h[lo:hi]), set(h[own].tolist())):
-                    if cuts is texts:
-                        for x, y, m in t.windows(h[lo:hi], line[lo:hi]):
-                            yield row, t.label, start + x, start + y, m / len(t.terms)
-                    else:
-                        yield row, t.label, start, start + hi - 1 - lo, n / len(t.terms)
+        for row, own in zip(*_by_row(np.searchsorted(b.bounds, hits, "right") - 1, hits)):
+            lo, hi = int(b.bounds[row]), int(b.bounds[row + 1])
+            for t in met(np.unique(h[lo:hi]), set(h[own].tolist())):
+                for x, y, m in t.windows(h[lo:hi]):
+                    yield row, t.label, x, y, m / len(t.terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

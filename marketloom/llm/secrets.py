@@ -2,7 +2,11 @@
 
 Every version of every path is content-addressed by SHA-256. The ledger says which (blob, rule version) pairs have been
 scanned and what was found in them; only pairs it doesn't have are scanned, each blob once however many paths have it, and
-findings are joined back to all paths. Null texts are empty.
+findings are joined back to all paths.
+
+Handling: null texts are empty, and stay null when others are redacted. Rows that repeat an id, or have none, are versions of one path, each
+found by its own content. A very long text is one blob. Matches of one kind never overlap; those of two kinds are ordered by start and kind.
+An empty table gives an empty result. Other columns are kept by `redacted`, whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -63,24 +67,27 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 
 
 def update(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(paths, ledger): paths has (id, blob) of every version; ledger, with a row for each pair scanned so far (findings null if there are
-    none), is the old one and the pairs that it lacked. Both are in the shared folder."""
+    """(paths, new): paths has (id, blob) of every version; new are the rows that the ledger lacked, a row for each pair that was scanned now
+    (findings null if there are none): the old ledger stands as it is, and new is to be appended to it. Both are in the shared folder."""
     table = versions.select(id_in(versions, id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     paths = materialize(table.select("id", "blob"), "paths")
     once = paths.groupBy("blob").agg(F.min("id").alias("id"))
-    old = empty_ledger(versions.sparkSession) if ledger is None else ledger
     if ledger is not None:
         once = once.join(ledger.where(F.col("rule_version") == rule_version), "blob", "left_anti")
     new = materialize(once, "unseen")
     texts = table.join(new, ["id", "blob"], "left_semi").select("blob", "text")
     scanned = new.join(scan(texts), "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), "findings")
-    return paths, materialize(old.select("blob", "rule_version", "findings").unionByName(scanned), "ledger")
+    return paths, materialize(scanned, "ledger")
+
+
+def grown(ledger: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if ledger is None else ledger.select("blob", "rule_version", "findings").unionByName(new)
 
 
 def findings(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """(id, findings) of every version; an empty array where nothing is found."""
-    paths, now = update(versions, ledger, id_col, text_col, rule_version)
-    hits = now.where((F.col("rule_version") == rule_version) & F.col("findings").isNotNull()).select("blob", "findings")
+    paths, new = update(versions, ledger, id_col, text_col, rule_version)
+    hits = grown(ledger, new).where((F.col("rule_version") == rule_version) & F.col("findings").isNotNull()).select("blob", "findings")
     joined = salted_join(paths, hits, "blob", "id", "left")
     return joined.select(id_out(versions, id_col), F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
@@ -99,9 +106,10 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
 
 def redacted(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """The same rows and columns; every span found is put in place by a mark. Null texts stay null."""
-    _, now = update(versions, ledger, id_col, text_col, rule_version)
-    hits = now.where((F.col("rule_version") == rule_version) & F.col("findings").isNotNull()).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
-    held = versions.withColumn("_blob", F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    joined = salted_join(held, hits, "_blob", id_col, "left")
-    text = F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("_found")))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in versions.columns))
+    _, new = update(versions, ledger, id_col, text_col, rule_version)
+    hits = grown(ledger, new).where((F.col("rule_version") == rule_version) & F.col("findings").isNotNull()).select("blob", "findings")
+    held = versions.select(F.struct(*versions.columns).alias("row"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("blob"), id_in(versions, id_col).alias("id"))
+    joined = salted_join(held, hits, "blob", "id", "left")
+    own = F.col("row")[text_col]
+    text = F.when(F.col("findings").isNull(), own).otherwise(redact(own, F.col("findings")))
+    return joined.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in versions.columns))

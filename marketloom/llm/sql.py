@@ -1,5 +1,5 @@
-"""DuckDB SQL of the queries that SQL can state. Op5, op7, op9 and op10 have none: components over links in html,
-hashes of Spark's own, spans of regular expressions and trained weights are out of its reach or its bearable cost."""
+"""DuckDB SQL of the queries that SQL can state. Op5, op7 and op10 have none: links in html that are resolved against their page,
+hashes of Spark's own and trained weights are out of its reach or its bearable cost."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 
-from . import licenses, quality
+from . import licenses, quality, secrets
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PRINTED, _LETTERS = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -90,17 +90,16 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(h, 0)::BIGINT AS n_
 FROM documents d LEFT JOIN totals t ON t.doc_id = d.doc_id LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
-_TERMS = [(label, sorted(set(t.split()))) for label, t in licenses.TEMPLATES.items()]
+_TERMS = [(label, sorted(set(t.split())), math.floor(len(t.split()) / 0.9 + 1e-9)) for label, t in licenses.TEMPLATES.items()]
 _PHRASE = " ".join(f"WHEN {_following('doc_id', len(p.split()))[0]} = '{p}' THEN '{label}'" for p, label in licenses.PHRASES.items())
 OP2 = f"""
 WITH words AS ({_words("documents", "doc_id", True, _LETTERS)}),
 places AS (SELECT * FROM (SELECT doc_id, p, CASE {_PHRASE} END AS label FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE label IS NOT NULL),
 base AS (SELECT doc_id, count(*) AS k, min(p) AS a, max(p) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM places GROUP BY doc_id),
-templates (label, term, size, need) AS (VALUES {", ".join(f"('{k}', '{w}', {len(ws)}, {max(1, math.ceil(0.9 * len(ws) - 1e-9))})" for k, ws in _TERMS for w in ws)}),
-texts AS (SELECT doc_id, string_split({_LOWER.format("text")}, chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM texts),
-terms AS (SELECT DISTINCT doc_id, i, unnest(regexp_extract_all(line, '{_LETTERS}')) AS term FROM lines),
-met AS (SELECT doc_id, label, count(*) / any_value(size) AS share FROM terms JOIN templates USING (term) GROUP BY doc_id, i, label HAVING count(*) >= any_value(need)),
+templates (label, term, size, need, width) AS (VALUES {", ".join(f"('{k}', '{w}', {len(ws)}, {max(1, math.ceil(0.9 * len(ws) - 1e-9))}, {width})" for k, ws, width in _TERMS for w in ws)}),
+hits AS (SELECT doc_id, p, label, term, size, need, width FROM words JOIN templates ON w = term),
+met AS (SELECT a.doc_id, a.label, count(DISTINCT b.term) / any_value(a.size) AS share FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.label = b.label AND b.p BETWEEN a.p AND a.p + a.width - 1
+        GROUP BY a.doc_id, a.label, a.p HAVING count(DISTINCT b.term) >= any_value(a.need)),
 every AS (SELECT doc_id, label, 1.0::DOUBLE AS share FROM places UNION ALL SELECT doc_id, label, share FROM met),
 found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS ls, max(share) AS score FROM every GROUP BY doc_id),
 totals AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id)
@@ -110,22 +109,43 @@ FROM documents d LEFT JOIN totals t ON t.doc_id = d.doc_id LEFT JOIN base ON bas
 """
 
 
-def _fences(level: int) -> str:
-    """Fences of each group by language and source (2), language (1) or of all (0)."""
-    by = "".join(f"{c}, " for c in ("lang", "source")[:level])
-    g = quality.GAMMA
-    spread = " ".join(f"WHEN '{m}' THEN q75 + {s} * (q75 - q25) + {x}" for m, (_, s, x) in quality.RULES.items())
-    return f"""SELECT {by}max(size) AS size, {", ".join(f"max(CASE WHEN metric = '{m}' THEN fence END) AS f_{m}" for m in quality.RULES)} FROM (
-    SELECT {by}metric, size, CASE metric {spread} END AS fence FROM (
-      SELECT {by}metric, max(size) AS size, min(middle) FILTER (seen >= 0.25 * size) AS q25, min(middle) FILTER (seen >= 0.75 * size) AS q75 FROM (
-        SELECT {by}metric, CASE WHEN bucket = -1000 THEN 0 ELSE 2 * pow({g!r}::DOUBLE, bucket) / ({g!r}::DOUBLE + 1) END AS middle,
-          sum(n) OVER (PARTITION BY {by}metric) AS size, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS seen
-        FROM (SELECT {by}metric, bucket, count(*) AS n FROM buckets GROUP BY ALL)
-      ) GROUP BY ALL
+def _spans(kind: str, ord_: int, pattern: str, group: int, least: int) -> str:
+    """(doc_id, ord, kind, s, e): spans from the lengths of the matches and of what lies between them."""
+    p = pattern.replace("'", "''")
+    total = lambda a: f"coalesce(list_sum([length(x) for x in {a}]), 0)"
+    return f"""SELECT doc_id, {ord_} AS ord, '{kind}' AS kind, s::BIGINT AS s, (s + length(ms[i]))::BIGINT AS e FROM (
+    SELECT *, {total("gaps[1:i]")} + {total("ms[1:i - 1]")} AS s FROM (
+      SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', {group}) AS cs, string_split_regex(t, '{p}') AS gaps FROM texts WHERE regexp_matches(t, '{p}')
+      )
     )
-  ) {"GROUP BY ALL" if by else ""}"""
+  ) WHERE length(cs[i]) >= {least}"""
 
 
+def _shown(where: str) -> str:
+    return f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER ({where}), '')"
+
+
+OP9 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_spans(k, i, *rule) for i, (k, rule) in enumerate(secrets.RULES.items()))}),
+found AS (SELECT doc_id, {", ".join(f"count(*) FILTER (ord = {i}) AS n_{k}" for i, k in enumerate(secrets.BASE))}, {_shown(f"ord < {len(secrets.BASE)}")} AS base, {_shown("TRUE")} AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
+
+def _below(by: tuple[str, ...], above: str) -> str:
+    """Counts of `by`, joined by PRIOR documents' worth of what is above; whole numbers."""
+    own, up = ", ".join(by), " AND ".join(["s.metric = a.metric", *(f"s.{c} IS NOT DISTINCT FROM a.{c}" for c in by[:-1])])
+    same = " AND ".join(f"s.{c} IS NOT DISTINCT FROM o.{c}" for c in by)
+    listed = ", ".join(f"s.{c}" for c in by)
+    return f"""SELECT {listed}, s.metric, a.bucket, coalesce(o.n, 0) * a.total + {quality.PRIOR} * a.w AS w, (s.size + {quality.PRIOR}) * a.total AS total
+  FROM (SELECT {own}, metric, sum(n)::HUGEINT AS size FROM sketch GROUP BY ALL) s JOIN {above} a ON {up}
+  LEFT JOIN (SELECT {own}, metric, bucket, sum(n)::HUGEINT AS n FROM sketch GROUP BY ALL) o ON {same} AND o.metric = s.metric AND o.bucket = a.bucket"""
+
+
+_SPREAD = " ".join(f"WHEN '{m}' THEN q75 + {s} * (q75 - q25) + {x}" for m, (_, s, x) in quality.RULES.items())
 _window, _over = _following("doc_id", 5)
 _METRICS = {m: f"coalesce({a.partition(' / ')[0]}::DOUBLE / nullif({a.partition(' / ')[2]}, 0), 0)" for m, (a, _, _) in quality.RULES.items()}
 OP4 = f"""
@@ -143,14 +163,16 @@ counts AS (
 ),
 metrics AS (SELECT *, {", ".join(f"{x} AS {m}" for m, x in _METRICS.items())} FROM counts),
 buckets AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, CASE WHEN {m} <= 1e-9 THEN -1000 ELSE ceil(ln({m}) / {float(np.log(quality.GAMMA))!r}::DOUBLE)::INT END AS bucket FROM metrics WHERE n_words > 0" for m in quality.RULES)}),
-own AS ({_fences(2)}),
-langs AS ({_fences(1)}),
-every AS ({_fences(0)}),
+sketch AS (SELECT lang, source, metric, bucket, count(*)::HUGEINT AS n FROM buckets GROUP BY ALL),
+every AS (SELECT metric, bucket, sum(n)::HUGEINT AS w, (sum(sum(n)) OVER (PARTITION BY metric))::HUGEINT AS total FROM sketch GROUP BY metric, bucket),
+langs AS ({_below(("lang",), "every")}),
+own AS ({_below(("lang", "source"), "langs")}),
+seen AS (SELECT *, CASE WHEN bucket = -1000 THEN 0 ELSE 2 * pow({quality.GAMMA!r}::DOUBLE, bucket) / ({quality.GAMMA!r}::DOUBLE + 1) END AS middle, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS seen FROM own),
+quartiles AS (SELECT lang, source, metric, min(middle) FILTER (4 * seen >= total) AS q25, min(middle) FILTER (4 * seen >= 3 * total) AS q75 FROM seen GROUP BY ALL),
+fences AS (SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{m}' THEN fence END) AS f_{m}" for m in quality.RULES)} FROM (SELECT *, CASE metric {_SPREAD} END AS fence FROM quartiles) GROUP BY lang, source),
 judged AS (
-  SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    concat_ws(',', {", ".join(f"CASE WHEN m.{m} > coalesce(o.f_{m}, l.f_{m}, e.f_{m}) THEN '{m}' END" for m in quality.RULES)}) AS failed
-  FROM metrics m LEFT JOIN own o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source AND o.size >= {quality.MIN_GROUP}
-  LEFT JOIN langs l ON m.lang IS NOT DISTINCT FROM l.lang AND l.size >= {quality.MIN_GROUP} LEFT JOIN every e ON TRUE
+  SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, concat_ws(',', {", ".join(f"CASE WHEN m.{m} > f.f_{m} THEN '{m}' END" for m in quality.RULES)}) AS failed
+  FROM metrics m LEFT JOIN fences f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM judged
 """

@@ -79,9 +79,17 @@ def parts_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
 def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: str, how: str = "inner") -> DataFrame:
     """Equi-join on a key that may hold a large share of `big`: its rows are dealt over SALTS pieces, and `small`,
     which has each key once, is repeated as often."""
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+    salt = free_name("_salt", big.columns + small.columns)
+    spread = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = big.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, [key, salt], how).drop(salt)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores after it as make it a new one."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 NO_ID = (1 << 63) - 1
