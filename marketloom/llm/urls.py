@@ -3,10 +3,17 @@
 Urls that lead to one another, by canonical link, meta refresh or a given redirect, are one page.
 A page without a rule of its own takes its aliases' verdict: allow if any of them has an allow rule, else
 block if any has a block rule, else allow. A rule of its own always wins.
+
+Handling: a null url, or one without ://, has an empty host and path, fits no rule, links nowhere and is allowed; null and empty html have no link. Each
+row is judged by its own url, with a repeated id or a null one too. Very long urls and html are read whole. An empty table gives an empty
+result. Columns beyond id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +34,34 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """The longest rule that fits, as struct(verdict, rule), or null."""
-    found = F.lit(None).cast("struct<verdict:string,rule:string>")
-    for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[1], r[0] == "allow")):
+def with_rule(table: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Adds `own` and `rule`: verdict and text of the longest rule that fits columns host and path (of equal ones the one that sorts last, allow
+    last), or nulls. Rules are looked up by each ending of the host, so their number costs memory, not time."""
+    by_host: dict[str, list[tuple[int, str, bool, str, str]]] = {}
+    for verdict, rule in rules:
         h, _, p = rule.partition("/")
-        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(f"/{p}")
-        found = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(rule).alias("rule"))).otherwise(found)
-    return found
+        by_host.setdefault(h, []).append((len(rule), rule, verdict == "allow", f"/{p}", verdict))
+    for found in by_host.values():
+        found.sort(reverse=True)
+    held = table.sparkSession.sparkContext.broadcast(by_host)
+
+    def longest(host: str, path: str) -> tuple[str | None, str | None]:
+        best, at = None, 0
+        while True:
+            first = next((r for r in held.value.get(host[at:], ()) if path.startswith(r[3])), None)
+            if first and (best is None or first > best):
+                best = first
+            at = host.find(".", at) + 1
+            if not at:
+                return (best[4], best[1]) if best else (None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [longest(h or "", p or "") for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], [*batch.schema.names, "own", "rule"])
+
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in table.dtypes)
+    return table.mapInArrow(run, f"{kinds}, own string, rule string")
 
 
 def without_dots(path: Column) -> Column:
@@ -84,9 +111,9 @@ def alias_verdicts(edges: DataFrame, rules: list[tuple[str, str]]) -> DataFrame
     if edges.isEmpty():
         return None
     nodes = components(edges, "a", "b")
-    rule = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)
+    ruled = with_rule(nodes.select("component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), rules)
     # allow sorts before block: the minimum is the verdict
-    by_component = nodes.groupBy("component").agg(F.min(rule["verdict"]).alias("verdict")).where("verdict IS NOT NULL")
+    by_component = ruled.groupBy("component").agg(F.min("own").alias("verdict")).where("verdict IS NOT NULL")
     return salted_join(nodes, by_component, "component", "node").select("node", "verdict")
 
 
@@ -98,10 +125,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         edges = edges.unionAll(redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")).where("a <> b"))
     url = F.col("url")
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    own = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    own = with_rule(own, rules)
     aliases = alias_verdicts(edges, rules)
     own = salted_join(own, aliases.withColumnRenamed("verdict", "alias"), "node", "id", "left") if aliases is not None else own.withColumn("alias", F.lit(None).cast("string"))
     return own.select(
-        F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "alias", F.lit("allow")).alias("verdict"),
-        F.when(F.col("r").isNotNull(), "rule").when(F.col("alias").isNotNull(), "alias").otherwise("default").alias("via"),
+        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("own", "alias", F.lit("allow")).alias("verdict"),
+        F.when(F.col("rule").isNotNull(), "rule").when(F.col("alias").isNotNull(), "alias").otherwise("default").alias("via"),
     )
