@@ -5,7 +5,10 @@ of vote patterns (at most 3 to the number of labellers, whatever the corpus's si
 how often each labeller is right on good and on bad documents. The posteriors label a bounded sample, on which a linear
 scorer over hashed words and text shape is trained; it then scores every document.
 
-Null texts are empty; a text without words scores 0 and is not kept.
+Handling: null texts are empty; a text without words scores 0 and is not kept. Each row is scored by its own text; for the fit, rows are told by id
+and a hash of the text, and those that repeat both count once in the sample, which never has more than `sample` rows. Null ids are one id. A
+very long text is counted whole. Ties at the threshold are kept. An empty table gives an empty result, by a model without weights. Columns
+beyond id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import SYMBOLS, repeated_lines, repeated_words
-from .storage import materialize
+from .storage import id_in, materialize
 from .words import PRINTED, Block, blocks
 
 BITS = 12
@@ -95,15 +98,15 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, sample: int = SAMPLE) -> Model:
     """EM over the vote patterns of all documents, then the scorer on `sample` of them at most: those first by a hash of
     the id, as many from each side of posterior 1/2 as there are up to half."""
-    table = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    table = docs.select(id_in(docs, id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tid"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(1), PRINTED):
                 v = votes(shape(b, b.hashes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), pa.array((v * 3 ** np.arange(v.shape[1])).sum(1))], ["id", "pattern"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), batch.column(2).slice(b.first, b.n), pa.array((v * 3 ** np.arange(v.shape[1])).sum(1))], ["id", "tid", "pattern"])
 
-    cast = materialize(table.mapInArrow(vote, f"id {dict(table.dtypes)['id']}, pattern long"), "votes")
+    cast = materialize(table.mapInArrow(vote, f"id {dict(table.dtypes)['id']}, tid long, pattern long"), "votes")
     rows = cast.groupBy("pattern").count().collect()  # at most 3 ** len(LABELLERS)
     if not rows:
         return Model(np.zeros((1 << bits) + N_EXTRA), bits, {}, 0.5)
@@ -111,9 +114,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     p, chance = em(patterns, n)
     posterior = cast.sparkSession.createDataFrame(pa.table({"pattern": codes.astype(np.int64), "p": p.astype(float)}))  # from Arrow: no Python worker of its own
-    labelled = cast.join(F.broadcast(posterior), "pattern").withColumn("order", F.xxhash64("id"))
-    sides = [labelled.where(side).orderBy("order", "id").limit(sample // 2) for side in ("p >= 0.5", "p < 0.5")]
-    chosen = materialize(sides[0].unionAll(sides[1]).select("id", "p").coalesce(1), "sample")
+    labelled = cast.join(F.broadcast(posterior), "pattern").withColumn("order", F.xxhash64("id", "tid"))
+    sides = [labelled.where(side).orderBy("order", "id", "tid").limit(sample // 2) for side in ("p >= 0.5", "p < 0.5")]
+    chosen = materialize(sides[0].unionAll(sides[1]).select("id", "tid", "p").coalesce(1).dropDuplicates(["id", "tid"]), "sample")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,8 +125,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
                 found = list(features(b, h, shape(b, h), bits))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary())], ["p", "at", "x"])
 
-    # the sample's ids are few by its bound
-    texts = table.join(F.broadcast(chosen), "id").select("p", "text")
+    # the sample is small by its bound, and a row that is there many times is taken once
+    texts = table.join(F.broadcast(chosen), ["id", "tid"]).dropDuplicates(["id", "tid"]).select("p", "text")
     got = sorted((r.p, bytes(r["at"]), bytes(r.x)) for r in texts.mapInArrow(hashed, "p double, at binary, x binary").collect())
     at, x = [np.frombuffer(r[1], np.int32) for r in got], [np.frombuffer(r[2], np.float32) for r in got]
     accuracy = {name: (float(chance[0, j, BAD] / max(1e-9, chance[0, j, 1:].sum())), float(chance[1, j, GOOD] / max(1e-9, chance[1, j, 1:].sum()))) for j, name in enumerate(LABELLERS)}

@@ -3,7 +3,14 @@
 A tree of domain, language and source. The token budget runs down it by weight; what a node can't
 supply (its tokens times `max_epochs`) goes to its siblings in proportion to their weights, and only what all
 of them together can't supply goes to the siblings of an ancestor. A leaf with budget b and supply s gives all its
-documents floor(b / s) times, and then the longest prefix of one more epoch, seeded by leaf and epoch, that fits.
+documents floor(b / s) times, and then a prefix of one more epoch, in an order seeded by epoch: the documents that fit, and the one that crosses
+the budget if half of it or more fits. So a leaf takes its budget but for half a document, and what leaves take too much and too little
+evens out.
+
+Handling: null, empty and blank texts have no tokens and are never chosen. Null language or source is a node of its own. Rows that repeat an id and
+its text stand at one place of a leaf's order, as do those without an id and with the same text, and are chosen together. A very long text is
+one document. An empty table gives an empty result. Of the result's own columns `domain`, `n_tokens` and `epochs`, one whose name the
+table has already gets underscores after it; the table's columns stay as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import free_name, materialize
 
 #: Weights by level; what is not named weighs 1 among its siblings.
 WEIGHTS = {"domain": {"crawl": 1.0, "curated": 2.0}, "lang": {"en": 3.0, "de": 2.0, "fr": 2.0, "es": 2.0}, "source": {}}
@@ -65,11 +72,9 @@ def mix(
 ) -> DataFrame:
     """The chosen rows of docs, with domain, n_tokens and `epochs`, how often each is taken.
 
-    total: tokens wanted; if None, `fraction` of all there are. Null language or source is a node of its own. Documents
-    without words are never chosen. Rows that repeat an id in one leaf are chosen together."""
+    total: tokens wanted; if None, `fraction` of all there are."""
     weights = WEIGHTS if weights is None else weights
-    kept = [c for c in docs.columns if c not in ("domain", "n_tokens", "epochs")]  # those names are the result's own
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("_id"), F.expr(domain).alias("domain"), "lang", "source", n_tokens(F.col(text_col)).alias("n_tokens")).where("n_tokens > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("tid")).alias("_id"), F.expr(domain).alias("domain"), "lang", "source", n_tokens(F.col(text_col)).alias("n_tokens")).where("n_tokens > 0")
     leaf = [F.col(c).alias(c) for c in LEVELS]
     slim = materialize(rows.select("_id", *leaf, "n_tokens"), "tokens")  # read three times
     found = budgets(slim.groupBy(*LEVELS).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), total, fraction, weights, max_epochs)
@@ -81,7 +86,7 @@ def mix(
     same = F.lit(True)
     for c in LEVELS:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    place = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("full"), i.cast("string")), F.lit(1 << 40))
+    place = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("full"), i["id"], i["tid"]), F.lit(1 << 40))
     bucket = (F.col("h") * F.col("buckets") / F.lit(1 << 40)).cast("long")
     # a leaf's prefix: whole buckets of the hash by their sums, then single documents in the bucket where it ends
     placed = slim.join(plan, same).withColumn("h", place(F.col("_id"))).withColumn("bucket", bucket)
@@ -94,7 +99,9 @@ def mix(
         ended &= F.col(c).eqNullSafe(F.col(f"e_{c}"))
     last = placed.join(ends, ended & (F.col("bucket") == F.col("end")))
     one = Window.partitionBy(*LEVELS).orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
-    fits = last.withColumn("until", F.col("before") + F.sum("n_tokens").over(one)).where("until <= left")
+    own = Window.partitionBy(*LEVELS, "h")
+    # half of what stands at the place, or more, fits: holds up to some place, and for none after it
+    fits = last.withColumn("until", F.col("before") + F.sum("n_tokens").over(one)).withColumn("here", F.sum("n_tokens").over(own)).where("2 * until - here <= 2 * left")
     cut = fits.groupBy(*(F.col(c).alias(f"c_{c}") for c in LEVELS)).agg(F.max("h").alias("cut"))
     to_cut, to_end = F.lit(True), F.lit(True)
     for c in LEVELS:
@@ -103,4 +110,4 @@ def mix(
     cuts = materialize(plan.join(ends, to_end, "left").join(cut, to_cut, "left").drop(*(f"{a}_{c}" for a in "ec" for c in LEVELS)).coalesce(1), "cuts")
     taken = rows.join(cuts, same).withColumn("h", place(F.col("_id"))).withColumn("bucket", bucket)
     more = F.col("end").isNull() | (F.col("bucket") < F.col("end")) | ((F.col("bucket") == F.col("end")) & F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)))
-    return taken.withColumn("epochs", F.col("full") + more.cast("long")).where("epochs > 0").select("row.*", "domain", "n_tokens", "epochs")
+    return taken.withColumn("epochs", F.col("full") + more.cast("long")).where("epochs > 0").select("row.*", *(F.col(c).alias(free_name(c, docs.columns)) for c in ("domain", "n_tokens", "epochs")))
