@@ -6,8 +6,11 @@ Windows: those that chose an anchor that is left are grouped by hash. No match i
 windows of a document that follow one another or touch merge to one span, which is as long as `window` words at least. Of equal windows the first, by document and position, stays.
 
 A task sends each of its anchors and windows once, so a passage that is everywhere costs as many records as there are tasks.
-Equal windows are told by 96 bits of hash. Ids are integers and name a text each: rows that repeat an id and its text get the
-same result, and aren't repeats of one another. Null texts have no words. A null id sorts last.
+Equal windows are told by 96 bits of hash over 64-bit hashes of words, so that among n distinct words a false equality has odds of about n * n / 2 ** 65.
+
+Handling: null, empty and blank texts have no words, and nothing goes. Ids are integers and name a text each: rows that repeat an id and its text get the
+same result, and aren't repeats of one another. Texts without an id sort last, by a hash (40 bits), and those with the same text are one. A very
+long text is read whole. An empty table gives an empty result. Columns beyond id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .storage import discard, materialize, parts_for
 from .words import PRINTED, SECOND_MULTIPLIER, Block, blocks, gram_rows, grams, sliding_min
 
 WINDOW, ANCHOR = 20, 8
+#: The largest ids name texts without an id, by a hash of the text.
+NULL_IDS = 1 << 40
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -209,7 +214,8 @@ def _kept(window: int):
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """One row a document: its id, n_words, n_removed, spans (word ranges removed, end exclusive) and kept, its other words
     joined by one space."""
-    texts = blobs.texts_of(docs, id_col, text_col)
+    own = F.lit(int(blobs.NO_ID)) - F.pmod(F.xxhash64(text_col), F.lit(NULL_IDS))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), own).alias("id"), F.col(text_col).alias("text"))
     parts = parts_for(docs)
     sent = texts.mapInArrow(_anchors(window, anchor, parts), blobs.SCHEMA)
     live = materialize(blobs.dealt(sent, parts).mapInArrow(_live(parts), blobs.SCHEMA), "live")
@@ -217,4 +223,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     gone = materialize(blobs.dealt(found, parts).mapInArrow(_removed(parts), blobs.SCHEMA), "removed")
     discard(live)
     out = blobs.with_texts(texts, gone, parts).mapInArrow(_kept(window), f"id long, n_words long, n_removed long, spans {SPANS}, kept string")
-    return out.select(F.nullif("id", F.lit(int(blobs.NO_ID))).alias(id_col), "n_words", "n_removed", "spans", "kept")
+    return out.select(F.when(F.col("id") <= int(blobs.NO_ID) - NULL_IDS, F.col("id")).alias(id_col), "n_words", "n_removed", "spans", "kept")
