@@ -568,9 +568,11 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
         if not more.isEmpty():
             labels = components(links.unionAll(more), "a", "b")
     discard(runs, groups, pairs)
-    named = first_of.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.col("id").alias("class_id"), "tid", F.coalesce("component", "sig").alias("component"))
-    least = named.groupBy("component").agg(F.min(F.struct("class_id", "tid")).alias("least"))
-    classes = salted_join(named, least, "component", "sig").select("sig", "class_id", "tid", F.col("least.class_id").alias("component_id"), F.col("least.tid").alias("head_tid"))
+    # most classes have no link and are told without a join by component
+    named = first_of.join(labels.withColumnRenamed("node", "sig"), "sig").select("sig", "component", F.struct("id", "tid").alias("own"))
+    least = named.groupBy("component").agg(F.min("own").alias("least"))
+    linked = salted_join(named, least, "component", "sig").select("sig", "least")
+    classes = first_of.join(linked, "sig", "left").select("sig", F.col("id").alias("class_id"), "tid", F.coalesce("least.id", "id").alias("component_id"), F.coalesce("least.tid", "tid").alias("head_tid"))
     return rows, classes
 
 
@@ -578,7 +580,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     """One row a document: its id, n_shingles, component_id (the smallest id that links lead to) and class_id, the smallest id with an
     equal set."""
     rows, classes = _classified(docs, id_col, text_col, k, percent)
-    found = salted_join(rows, classes.select("sig", "class_id", "component_id"), "sig", "id", "left")
+    found = rows.join(classes.select("sig", "class_id", "component_id"), "sig", "left")  # a class of very many rows is a skew that Spark splits
     hide = lambda c: F.nullif(c, F.lit(int(blobs.NO_ID)))
     return found.select(hide(F.col("id")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), hide(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"), hide(F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id"))).alias("class_id"))
 
