@@ -1,6 +1,8 @@
 """A training corpus from raw documents: each stage works on all that the one before it kept.
 
-Rows that repeat a doc_id are judged as one document by the stages that decide by id."""
+Handling: stages decide by row, told by doc_id and a hash of the text (the first also by language and source). Null doc_ids are one id. Rows
+without words go in the first stage. Rows that repeat both id and text are judged alike; the second stage keeps one of them, as of any
+group. An empty table passes through. Columns beyond doc_id, text, lang, source and n_chars are kept as they are, whatever their names."""
 
 from __future__ import annotations
 
@@ -11,35 +13,30 @@ from marketloom.llm import contamination, jaccard, mixing, quality, secrets
 from marketloom.llm.storage import materialize
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    chosen = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return _only(docs, quality.judge(docs).where("kept"))
+    """Rows that the rules reject go."""
+    return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the smallest id stays."""
-    return _only(docs, jaccard.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each group that links join stays: the one with the smallest id."""
+    return jaccard.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark text go."""
-    found = contamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_row=True)
+    """Rows of which a twentieth or more is benchmark text go."""
+    found = contamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=0, with_row=True)
     return found.where("NOT contaminated").select("row.*")
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are put out of texts; documents stay."""
+    """Secrets are put out of texts; rows stay."""
     clean = secrets.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen to the target weights, with how often each is taken."""
+    """Rows chosen to the target weights, with how often each is taken."""
     return mixing.mix(docs)
 
 
@@ -51,7 +48,7 @@ STAGES = [
     ("mixing sources to target weights", source_mix),
 ]
 
-#: The second stage's components and the last's budgets take loops that SQL can't state in one query of bearable cost.
+#: The last stage's order is by Spark's own hash, which SQL can't state; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
