@@ -8,7 +8,8 @@ Jaccard similarity reaches the threshold.
    hash, fixed size; ties by hash). Any order gives the same links; this one puts shared passages last.
 2. Runs. Two linked sets share one of their first n - ceil(t n) + 1 shingles. A run has the classes with one shingle among these. A shingle
    that the sketch says to be in very many texts is dealt over slices, of which each has the same few guests.
-3. Blocks. Each class goes to the block of the head (the run's least member by hash) with which it shares most runs; blocks over
+3. Blocks. Each class goes to the block of the head (the run's least member by hash) with which it shares most runs, if these are half as
+   many as linked sets must share; blocks over
    CHUNK shingles are cut into chunks, each with the head. A chunk's sets become a prefix tree from the most frequent shingle on. A member
    walks it level by level: the overlap of a shared prefix is counted once for all sets below, and subtrees go where overlap and remaining
    length can't reach the threshold. Members of the chunk's largest component need not walk: all others have met them. What
@@ -553,8 +554,11 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     first_of = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "tid")).alias("first")).select("sig", "first.id", "first.tid")
     sent = texts.mapInArrow(_postings(k, percent, levels, parts), blobs.SCHEMA)
     runs = materialize(blobs.dealt(sent, parts).mapInArrow(_runs(percent, parts), RUNS), "runs")
-    votes = runs.where("kind = 0").groupBy("a", "b").agg(F.sum("low").alias("shared"), F.max("n_b").alias("n_b"))
-    heads = votes.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("head"), F.max("n_b").alias("n_b"))
+    votes = runs.where("kind = 0").groupBy("a", "b").agg(F.sum("low").alias("shared"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    # of the prefix that ends first no more are unshared than of the whole set, so linked sets share many runs; one or two are chance. The head
+    # may not be the head in all of them, hence half; a class that goes to no block meets others below
+    least = F.expr(f"ceil({percent} * (n_a + n_b) / {100.0 + percent}) + 1 - ceil(greatest(n_a, n_b) * {percent} / 100.0)")
+    heads = votes.where(2 * F.col("shared") >= least).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("head"), F.max("n_b").alias("n_b"))
     groups = materialize(_chunked(heads), "blocks")
     members = runs.where("kind = 1").select("a", "n_a", "part", "low", "slice", "slices", "prev")
     links = materialize(_links(groups, texts, first_of, k, percent, levels, True), "links")
