@@ -31,15 +31,26 @@ def band_mid(band: Column) -> Column:
     return (band_low(band) + band_high(band)) / F.lit(2.0)
 
 
+def interpolated(x: Column, knots: list[tuple[float, float]]) -> Column:
+    """Piecewise linear through (place, value) in order of place, level beyond both ends; of knots at one place the greatest value counts."""
+    best: dict[float, float] = {}
+    for at, y in knots:
+        best[float(at)] = max(y, best.get(float(at), y))
+    points = sorted(best.items())
+    out = F.when(x <= points[0][0], F.lit(points[0][1]))
+    for (a, u), (b, w) in zip(points, points[1:]):
+        out = out.when(x <= b, F.lit(u) + F.lit(w - u) * ((x - a) / F.lit(b - a)))
+    return out.otherwise(F.lit(points[-1][1]))
+
+
 def size_curve(headcount: Column, seg: Segment) -> Column:
     """1 in the sweet spot, linear to edge_value at the band's edges and beyond; null without headcount or sweet spot."""
     if not seg.sweet_spot:
         return F.lit(None).cast("double")
-    lo, hi = seg.sweet_spot
-    up = (headcount - seg.headcount_min) / F.lit(float(lo - seg.headcount_min)) if lo > seg.headcount_min else F.lit(1.0)
-    down = (seg.headcount_max - headcount) / F.lit(float(seg.headcount_max - hi)) if seg.headcount_max > hi else F.lit(1.0)
-    share = F.when(headcount.between(lo, hi), F.lit(1.0)).otherwise(F.least(F.greatest(F.when(headcount < lo, up).otherwise(down), F.lit(0.0)), F.lit(1.0)))
-    return F.when(headcount.isNotNull(), rounded(F.lit(seg.edge_value) + F.lit(1 - seg.edge_value) * share, 4))
+    low, high = seg.sweet_spot
+    edge = float(seg.edge_value)
+    knots = [(low, 1.0), (high, 1.0), *([(seg.headcount_min, edge)] if seg.headcount_min < low else []), *([(seg.headcount_max, edge)] if seg.headcount_max > high else [])]
+    return F.when(headcount.isNotNull(), rounded(interpolated(headcount, knots), 4))
 
 
 def months_before(day: Column, months: int) -> Column:

@@ -3,37 +3,91 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """To the folder of spark.checkpoint.dir; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "checkpoints")))
-    return df.checkpoint()
+#: A hot node's edges are joined in so many pieces.
+PIECES = 8
+#: Companies that list a host from which it is a directory, and companies that may share an address.
+DIRECTORY, SHARED_ADDRESS = 21, 3
+
+
+def handed_over(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the folder of spark.checkpoint.dir and read again: computed once, and safe from lost executors."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(folder or os.path.join(tempfile.gettempdir(), 'checkpoints')).rstrip('/')}/resolve-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _pointed(edges: DataFrame) -> DataFrame:
+    """Each edge (a, b), a > b: the neighbours of a node point at the least of them all, and so do node and least at each other."""
+    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    spread = least.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    met = both.withColumn("piece", F.pmod(F.xxhash64("b"), F.lit(PIECES)).cast("int")).join(spread, ["a", "piece"])
+    out = met.select(F.col("b").alias("x"), F.col("m").alias("y")).unionAll(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
+    return out.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def components(keys: DataFrame) -> DataFrame:
     """(id, root) for every id of (id, key): the smallest id that shared keys lead to.
 
-    A key links its members to its smallest one, never to one another in pairs; labels then jump along
-    (label of the label) until they stand."""
+    A key links its members to its smallest one, never to one another in pairs. A round is written once; rounds grow with the logarithm of the
+    longest path, and end when every node points at its root alone."""
     least = keys.groupBy("key").agg(F.min("id").alias("root"))
-    edges = keys.join(least, "key").select("id", "root").where("id <> root").distinct()
-    edges = checkpointed(edges.unionAll(edges.select(F.col("root").alias("id"), F.col("id").alias("root"))).toDF("a", "b"))
-    labels = checkpointed(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    edges = handed_over(keys.join(least, "key").select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("beyond"))
-        new = checkpointed(step.join(jump, "root", "left").select("id", "old", F.least("root", "beyond").alias("root")))
-        labels = new.select("id", "root")
-        if new.where("old <> root").isEmpty():
-            return keys.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+        stars = edges.groupBy("a").agg(F.count("*").alias("n"))
+        # done when each node has one edge, to a node that has none itself
+        if edges.join(stars, "a").where("n > 1").limit(1).isEmpty() and edges.join(stars.select(F.col("a").alias("b")), "b", "left_semi").limit(1).isEmpty():
+            break
+        edges = handed_over(_pointed(edges))
+    return keys.select("id").distinct().join(edges.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def company_keys(companies: DataFrame) -> DataFrame:
+    """(id, kind, key) of companies (id, siren, officers: array of structs, phones, websites, address): every key that could link them. A company is a
+    holding by its own number, so that it joins what it manages."""
+    who = companies.select("id", F.explode("officers").alias("o")).where(~F.coalesce(T.normalize(F.col("o.qualite")).contains("COMMISSAIRE AUX COMPTES"), F.lit(False)))
+    person = who.where("o.type_dirigeant = 'personne physique'").select("id", F.lit("manager").alias("kind"), T.person_key(F.col("o.nom"), F.col("o.prenoms"), F.col("o.date_de_naissance")).alias("value"))
+    entity = who.where("o.type_dirigeant = 'personne morale'").select("id", F.lit("holding").alias("kind"), T.entity_key(F.col("o.siren"), F.coalesce("o.denomination", F.lit(""))).alias("value"))
+    own = companies.select("id", F.lit("holding").alias("kind"), F.col("siren").alias("value"))
+    phone = companies.select("id", F.lit("phone").alias("kind"), F.explode("phones").alias("x")).select("id", "kind", T.phone_key(F.col("x")).alias("value"))
+    site = companies.select("id", F.lit("website").alias("kind"), F.explode("websites").alias("x")).select("id", "kind", T.website_host(F.col("x")).alias("value"))
+    place = companies.where("address <> ''").select("id", F.lit("address").alias("kind"), T.normalize(F.col("address")).alias("value"))
+    every = own.unionByName(person).unionByName(entity).unionByName(phone).unionByName(site).unionByName(place)
+    return every.where("value IS NOT NULL").select("id", "kind", F.concat_ws(":", "kind", "value").alias("key")).distinct()
+
+
+def linking(keys: DataFrame, directory: int = DIRECTORY, shared_address: int = SHARED_ADDRESS) -> DataFrame:
+    """Keys (id, kind, key) that link: two members at least; a website not of a directory; an address of few."""
+    n = keys.groupBy("kind", "key").agg(F.count("*").alias("n"))
+    most = F.when(F.col("kind") == "website", directory - 1).when(F.col("kind") == "address", shared_address).otherwise(1 << 30)
+    return keys.join(n.where((F.col("n") >= 2) & (F.col("n") <= most)), ["kind", "key"])
+
+
+def expanded(candidates: DataFrame, officers: DataFrame, known: DataFrame, prefixes: tuple[str, ...], calls: int) -> tuple[DataFrame, DataFrame]:
+    """(found, stats) of one hop by manager: candidates (person, ord), of which the first `calls` are looked up among officers (id, person, naf, open); known
+    ids aren't found again, nor are closed companies and those of other trades. stats: lookups, hits, skipped_naf, closed."""
+    asked = candidates.orderBy("ord").limit(calls)
+    met = officers.join(asked.select("person").distinct(), "person", "left_semi").join(known.select("id"), "id", "left_anti")
+    one = met.groupBy("id").agg(F.min("person").alias("person"), F.first("naf").alias("naf"), F.first("open").alias("open"))
+    fits: Column = F.lit(False)
+    for p in prefixes:
+        fits |= F.col("naf").startswith(p)
+    judged = handed_over(one.withColumn("fits", F.coalesce(fits, F.lit(False))))
+    counts = judged.agg(F.count_if(F.col("fits") & F.col("open")).alias("hits"), F.count_if(~F.col("fits")).alias("skipped_naf"), F.count_if(F.col("fits") & ~F.col("open")).alias("closed"))
+    return judged.where("fits AND open").select("id", "person"), asked.agg(F.count("*").alias("lookups")).join(counts)
 
 
 def with_roots(companies: DataFrame, keys: DataFrame) -> DataFrame:

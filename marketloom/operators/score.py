@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.numbers import rounded, size_curve
+from ..functions.text import fixed
 
 
 def values(signals: DataFrame, market: DataFrame, grades: DataFrame, heads: DataFrame, cfg: Config) -> DataFrame:
@@ -39,15 +40,23 @@ def scored(signals: DataFrame, market: DataFrame, grades: DataFrame, heads: Data
 
 
 
-
 def best_first() -> list[Column]:
     return [F.desc("score"), F.desc("evidence_backed"), F.asc("name"), F.asc("gid")]
 
 
 def ranked(table: DataFrame) -> DataFrame:
-    """rank over all, place among leads that are no reference. The scored set is the shortlist: its size is configured."""
-    place = F.row_number().over(Window.partitionBy("is_reference").orderBy(*best_first()))
-    return table.withColumn("rank", F.row_number().over(Window.orderBy(*best_first()))).withColumn("place", F.when(~F.col("is_reference"), place))
+    """rank over all, place among leads that are no reference.
+
+    Scores have two decimals and evidence is counted in signals, so that there are a few thousand pairs of them at most, whatever the market's size:
+    how many leads come before a pair is summed over the pairs, and only leads of one pair are sorted together."""
+    pair = ["score", "evidence_backed"]
+    before = Window.orderBy(F.desc("score"), F.desc("evidence_backed")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = table.groupBy(*pair).agg(F.count("*").alias("n"), F.count_if(~F.col("is_reference")).alias("m"))
+    ahead = counts.select(*pair, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m"))
+    within = Window.partitionBy(*pair).orderBy("name", "gid")
+    leads = F.count_if(~F.col("is_reference")).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    found = table.join(ahead, pair).withColumn("rank", (F.col("n") + F.row_number().over(within)).cast("int"))
+    return found.withColumn("place", F.when(~F.col("is_reference"), (F.col("m") + leads).cast("int"))).drop("n", "m")
 
 
 def queue(table: DataFrame, size: int) -> DataFrame:
@@ -55,11 +64,28 @@ def queue(table: DataFrame, size: int) -> DataFrame:
     return table.where("NOT is_reference").orderBy(*best_first()).limit(size)
 
 
-def reason(cfg: Config) -> Column:
+#: Marks in a reason line.
+WEAKEST, REFERENCE, STRONG = "weakest: ", "reference (calibration, not queued)", 0.75
+
+
+def phrases(cfg: Config, said: Column | None = None) -> dict[str, Column]:
+    """What is said of each signal: the recorded phrase (map by signal), for the size with the headcount before it, else the label."""
+    out = {}
+    for s in cfg.signals:
+        text = F.lit("") if said is None else F.regexp_replace(F.trim(F.coalesce(said[s.id], F.lit(""))), r"\.+$", "")
+        if s.id == cfg.segment.size_signal:
+            about = F.concat(F.lit("~"), fixed(F.col("hc"), 0), F.lit(" staff"))
+            both = F.when(text == "", about).otherwise(F.concat(about, F.lit(", "), text))
+            text = F.when(F.col("hc").isNull() | F.lower(text).contains("staff"), text).otherwise(both)
+        out[s.id] = F.coalesce(F.nullif(text, F.lit("")), F.lit(s.label.lower()))
+    return out
+
+
+def reason(cfg: Config, said: Column | None = None) -> Column:
     """Score and tier, the strong signals by weight, then the weakest."""
-    order = sorted(cfg.signals, key=lambda s: -s.weight)
-    strong = F.array_compact(F.array(*(F.when(F.col(s.id) >= 0.75, F.lit(s.label.lower())) for s in order)))
-    weak = F.array_min(F.array(*(F.struct(F.col(s.id).alias("v"), F.lit(-s.weight).alias("w"), F.lit(i).alias("i"), F.lit(s.label.lower()).alias("t")) for i, s in enumerate(order))))
-    head = F.concat(F.format_string("%.1f", F.bround("score", 1)), F.lit(" "), F.col("tier"))
-    parts = F.concat(F.array(head), strong, F.array_compact(F.array(F.when(weak["v"] < 0.75, F.concat(F.lit("weakest: "), weak["t"])), F.when(F.col("is_reference"), F.lit("reference (calibration, not queued)")))))
-    return F.array_join(parts, " | ")
+    order, text = sorted(cfg.signals, key=lambda s: -s.weight), phrases(cfg, said)
+    strong = F.array_compact(F.array(*(F.when(F.col(s.id) >= STRONG, text[s.id]) for s in order)))
+    weak = F.array_min(F.array(*(F.struct(F.col(s.id).alias("v"), F.lit(-float(s.weight)).alias("w"), F.lit(i).alias("i"), text[s.id].alias("t")) for i, s in enumerate(order))))
+    head = F.concat(fixed(F.col("score"), 1), F.lit(" "), F.col("tier"))
+    ends = F.array_compact(F.array(F.when(weak["v"] < STRONG, F.concat(F.lit(WEAKEST), weak["t"])), F.when(F.col("is_reference"), F.lit(REFERENCE))))
+    return F.array_join(F.concat(F.array(head), strong, ends), " | ")

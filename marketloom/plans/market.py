@@ -80,13 +80,6 @@ def _(v):
     return extra.join(v.co.where("id % 2 = 0"), "id", "left_anti").join(v.co.select("id", "name"), "id", "left").select("id", F.col("name").isNotNull().alias("found"))
 
 
-@q("q_person_match", "SELECT id, min(person) AS person FROM (SELECT id, nation||'|'||CAST(floor(bal/50) AS BIGINT) AS person, id%2=1 AS known FROM co) WHERE NOT known AND person IN (SELECT nation||'|'||CAST(floor(bal/50) AS BIGINT) FROM co WHERE id%2=1) GROUP BY id", "co")
-def _(v):
-    p = v.co.select("id", F.concat_ws("|", "nation", F.floor(F.col("bal") / 50)).alias("person"))
-    known = p.where("id % 2 = 1").select("person").distinct()
-    return p.where("id % 2 = 0").join(known, "person", "left_semi").groupBy("id").agg(F.min("person").alias("person"))
-
-
 @q("q_latest_by_key", "SELECT o_custkey AS id, arg_max(o_totalprice, (y, o_orderkey)) AS revenue, max(y) AS revenue_year FROM (SELECT *, year(o_orderdate) AS y FROM orders WHERE o_totalprice>1000) GROUP BY 1")
 def _(v):
     o = v.table("orders").where("o_totalprice > 1000").withColumn("y", F.year("o_orderdate"))
@@ -136,11 +129,6 @@ def _(v):
     return v.table("documents").where(T.keyword_match(T.normalize(F.col("text")), ["THTION", "UNG"])).select("doc_id")
 
 
-@q("q_display_name")
-def _(v):
-    return v.co.select("id", T.display_name(F.upper("name")).alias("name"))
-
-
 @q("q_split_address", "SELECT id, CASE WHEN i>0 THEN substr(a,1,i-1) ELSE a END AS street, CASE WHEN i>0 THEN substr(a,i+length(m)) ELSE '' END AS city FROM (SELECT *, instr(a,m) AS i FROM (SELECT id, id||' rue '||name||' '||(10000+id%80000)||' '||seg AS a, CASE WHEN id%6=0 THEN ' x ' ELSE ' '||(10000+id%80000)||' ' END AS m FROM co))", "co")
 def _(v):
     code = 10000 + F.col("id") % 80000
@@ -154,11 +142,6 @@ def _(v):
     return v.co.select("id", T.jitter(F.col("name")).alias("j"))
 
 
-@q("q_request_key", """SELECT page_id, sha1('https://api.example/search?{"page": '||page_id||', "q": "'||url||'"}') AS key FROM pages""")
-def _(v):
-    return v.table("pages").select("page_id", F.sha1(F.concat(F.lit('https://api.example/search?{"page": '), "page_id", F.lit(', "q": "'), "url", F.lit('"}'))).alias("key"))
-
-
 @q("q_months_before", "SELECT id, CAST(make_date(year(m), month(m), least(day(created),28)) AS VARCHAR) AS cutoff, CAST(last_day(created) AS VARCHAR) AS month_end FROM (SELECT id, created, date_trunc('month',created) - INTERVAL 24 MONTH AS m FROM co WHERE created IS NOT NULL)", "co")
 def _(v):
     return v.co.where("created IS NOT NULL").select("id", N.months_before(F.col("created"), 24).cast("string").alias("cutoff"), F.last_day("created").cast("string").alias("month_end"))
@@ -177,11 +160,6 @@ def _(v):
     return v.table("pages").select(T.website_host(F.col("url")).alias("host"), "page_id").groupBy("host").agg(F.countDistinct("page_id").alias("n")).where("n >= 21")
 
 
-@q("q_link_keys", "SELECT key, count(DISTINCT id) AS n FROM allkeys GROUP BY key HAVING count(DISTINCT id)>=2 AND count(DISTINCT id)<=CASE WHEN key LIKE 'phone:%' THEN 3 ELSE 20 END", "allkeys")
-def _(v):
-    return resolve.link_keys(v.keys, {"phone": 3, "manager": 20}).groupBy("key").agg(F.countDistinct("id").alias("n"))
-
-
 @q("q_components", "SELECT id, root FROM comp", "comp")
 def _(v):
     return resolve.with_roots(v.co, v.keys).select("id", "root")
@@ -300,9 +278,3 @@ def _(v):
 def _(v):
     reason = F.when(F.col("mid").isNull(), "headcount unknown").when(F.col("in_segment"), "in segment").when(F.col("near_band"), "near band").when(F.col("mid") > 300, "above the segment").otherwise("below the segment")
     return flagged(v).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
-@q("q_named_groups", "SELECT r.gid, mk.name FROM (SELECT unnest(['g3','g1','g2','nope']) AS gid) r LEFT JOIN mk USING (gid)", "mk")
-def _(v):
-    asked = v.spark.createDataFrame([("g3",), ("g1",), ("g2",), ("nope",)], "gid string")
-    return asked.join(v.mk.select("gid", "name"), "gid", "left")

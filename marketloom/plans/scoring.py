@@ -66,34 +66,16 @@ def _(v):
     return v.lg.where("event_id % 3 = 0").select("key").distinct().join(v.lg.where("event_id % 3 <> 0").select("key").distinct(), "key", "left_anti")
 
 
-@q("q_replay_steps", "SELECT a.conv_id, a.turn AS use, b.turn AS result, length(b.text) AS chars FROM conversations a LEFT JOIN conversations b ON a.conv_id=b.conv_id AND b.turn=a.turn+1 WHERE a.turn%2=0")
-def _(v):
-    c = v.table("conversations")
-    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("result"), F.length("text").alias("chars"))
-    return c.where("turn % 2 = 0").join(b, ["conv_id", "turn"], "left").select("conv_id", F.col("turn").alias("use"), "result", "chars")
-
-
 @q("q_replay_cost", "SELECT lead, arg_max(key, event_id) AS last_key, count(DISTINCT key) AS n_keys FROM lg GROUP BY lead", "lg")
 def _(v):
     return v.lg.groupBy("lead").agg(F.max_by("key", "event_id").alias("last_key"), F.countDistinct("key").alias("n_keys"))
 
 
-@q("q_search_summary", """SELECT page_id, len(l) AS n_links, array_to_string(list_slice(list_distinct_ordered,1,3),' ') AS first_links FROM (SELECT page_id, l, list_filter(l, lambda x, i: list_position(l,x)=i) AS list_distinct_ordered FROM (SELECT page_id, regexp_extract_all(html,'href="([^"]+)"',1) AS l FROM pages))""")
-def _(v):
-    return v.table("pages").select("page_id", F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)).alias("l")).select("page_id", F.size("l").alias("n_links"), F.array_join(F.slice(F.array_distinct("l"), 1, 3), " ").alias("first_links"))
-
-
 @q("q_fetch_summary", "SELECT doc_id, CAST(round_even(n,-1) AS BIGINT) AS about FROM (SELECT doc_id, len(list_filter(string_split_regex(trim(text,chr(32)||chr(10)||chr(9)),'[ \\n\\t]+'), lambda x: x<>'')) AS n FROM documents) WHERE n>=20")
 def _(v):
     return v.table("documents").select("doc_id", F.size(F.array_remove(F.split("text", "[ \n\t]+"), "")).alias("n")).where("n >= 20").select("doc_id", F.bround("n", -1).cast("long").alias("about"))
 
 
-@q("q_budget_stop", "SELECT event_id, lead, coalesce(sum(value) OVER (PARTITION BY lead ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)<60 AS started FROM lg", "lg")
-def _(v):
-    before = Window.partitionBy("lead").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return v.lg.select("event_id", "lead", (F.coalesce(F.sum("value").over(before), F.lit(0.0)) < v.cfg.budget_usd).alias("started"))
-
-
 @q("q_utilization_cap", "SELECT purpose, arg_max(value, (called, event_id)) AS latest, arg_max(value, (called, event_id))/100.0>CASE purpose WHEN 'click' THEN 0.9 ELSE 0.7 END AS stop FROM lg GROUP BY purpose", "lg")
 def _(v):
     u = v.lg.groupBy("purpose").agg(F.max_by("value", F.struct("called", "event_id")).alias("latest"))
@@ -141,11 +123,6 @@ def _(v):
     return top.where(F.col("place") <= v.cfg.queue_size).join(F.broadcast(cut), F.lit(True), "left").agg(F.count_if(F.col("score") == F.col("cut")).alias("places"))
 
 
-@q("q_reason")
-def _(v):
-    return scored(v).select("gid", S.reason(v.cfg).alias("reason_en"))
-
-
 @q("q_score_report", "SELECT count(*) AS scored, count(*) FILTER (WHERE tier='A') AS a, count(*) FILTER (WHERE tier='B') AS b, count(*) FILTER (WHERE tier='C') AS c, count(DISTINCT score) AS distinct_scores FROM scored", "scored")
 def _(v):
     return scored(v).agg(F.count("*").alias("scored"), *(F.count_if(F.col("tier") == t).alias(t.lower()) for t in "ABC"), F.countDistinct("score").alias("distinct_scores"))
@@ -208,11 +185,6 @@ def _(v):
     return once(v).select("event_id", "key")
 
 
-@q("q_cost_usd", f"SELECT event_id, round_even(({_USD})::DOUBLE,6) AS usd FROM lg", "lg")
-def _(v):
-    return v.lg.select("event_id", R(usd(), 6).alias("usd"))
-
-
 @q("q_cost_per_lead", f"SELECT lead, count(*) AS calls, round_even(sum(({_USD})::DOUBLE),4) AS usd, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM {_ONE} GROUP BY lead", "lg")
 def _(v):
     return once(v).groupBy("lead").agg(F.count("*").alias("calls"), R(F.sum(usd()), 4).alias("usd"), F.sum("input_tokens").alias("tokens"))
@@ -263,11 +235,6 @@ def _(v):
     return two_runs(v).where("va <> vb OR va IS NULL OR vb IS NULL")
 
 
-@q("q_run_stats", "SELECT backend, count(DISTINCT lead) AS leads, round_even(avg(value),4) AS mean_value, count(*) FILTER (WHERE value>50) AS flagged FROM lg GROUP BY backend", "lg")
-def _(v):
-    return v.lg.groupBy("backend").agg(F.countDistinct("lead").alias("leads"), R(F.avg("value"), 4).alias("mean_value"), F.count_if(F.col("value") > 50).alias("flagged"))
-
-
 # insights
 
 
@@ -276,12 +243,6 @@ def _(v):
     return ranked(v).where("NOT is_reference").select("gid", "score", "region", "place")
 
 
-@q("q_rolled_in", "SELECT nation, count(*) AS n, max(mid) AS largest FROM mk GROUP BY nation HAVING count(*)>1 AND NOT coalesce(max(CASE WHEN id%2=0 THEN mid END)>=200,false)", "mk")
-def _(v):
-    g = v.mk.groupBy("nation").agg(F.count("*").alias("n"), F.max("mid").alias("largest"), F.max(F.when(F.col("id") % 2 == 0, F.col("mid"))).alias("own"))
-    return g.where("n > 1 AND NOT coalesce(own >= 200, false)").drop("own")
-
-
 _RK = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1)/2.0)"
 
 
@@ -408,12 +369,6 @@ def _(v):
     return v.mk.join(F.broadcast(top), "gid", "left").groupBy(layer.alias("layer")).agg(F.count("*").alias("n"))
 
 
-@q("q_map_iqr", "SELECT id FROM co, (SELECT median(bal) AS m, quantile_cont(bal,0.75)-quantile_cont(bal,0.25) AS i FROM co) WHERE bal BETWEEN m-0.5*i AND m+0.5*i", "co")
-def _(v):
-    p = v.co.agg(F.percentile("bal", [0.25, 0.5, 0.75]).alias("p"))
-    return v.co.join(F.broadcast(p), F.lit(True)).where("bal BETWEEN p[1] - 0.5 * (p[2] - p[0]) AND p[1] + 0.5 * (p[2] - p[0])").select("id")
-
-
 @q("q_map_grid", "SELECT CAST(round_even(bal/500,0) AS BIGINT) AS x, n_orders//5 AS y, count(*) AS n FROM co GROUP BY 1,2", "co")
 def _(v):
     return v.co.groupBy(F.rint(F.col("bal") / 500).cast("long").alias("x"), F.floor(F.col("n_orders") / 5).alias("y")).agg(F.count("*").alias("n"))
@@ -428,31 +383,6 @@ def _(v):
     return v.table("pages").select("page_id", F.coalesce(F.when((F.col("page_id") % 3 != 0) & ~host.startswith("blog."), host), F.concat(F.lit("site"), "page_id", F.lit(".example"))).alias("domain"))
 
 
-@q("q_contact", "SELECT id, CASE WHEN id%4=0 THEN NULL WHEN id%4=1 THEN 'Person '||id ELSE 'Boss '||id END AS contact FROM co", "co")
-def _(v):
-    officer = lambda kind, role, name: F.struct(F.lit(kind).alias("type"), F.lit(role).alias("role"), name.alias("name"))
-    all_ = F.to_json(F.array(officer("moral", "holding", F.lit("H")), officer("person", "COMMISSAIRE AUX COMPTES", F.lit("A")), officer("person", "manager", F.when(F.col("id") % 4 == 1, F.concat(F.lit("Person "), "id")).when(F.col("id") % 4 != 0, F.concat(F.lit("Boss "), "id")))))
-    some = F.filter(F.from_json(all_, "array<struct<type:string,role:string,name:string>>"), lambda o: (o["type"] == "person") & ~o["role"].contains("COMMISSAIRE AUX COMPTES") & o["name"].isNotNull())
-    return v.co.select("id", F.try_element_at(some, F.lit(1))["name"].alias("contact"))
-
-
-@q("q_evidence_numbering", "SELECT gid, signal, e AS piece, row_number() OVER (PARTITION BY gid ORDER BY ord, e) AS n FROM (SELECT gid, ord, signal, unnest(range(n_evidence)) AS e FROM sg WHERE status='ok')", "sg")
-def _(v):
-    pieces = v.sg.where("status = 'ok' AND n_evidence > 0").select("gid", "ord", "signal", F.explode(F.sequence(F.lit(0), F.col("n_evidence") - 1)).alias("piece"))
-    return pieces.withColumn("n", F.row_number().over(Window.partitionBy("gid").orderBy("ord", "piece"))).drop("ord")
-
-
-@q("q_copy_checks", r"SELECT conv_id, turn, length(text) AS chars, length(text)>200 AS too_long, regexp_matches(text,'[0-9]+(\.[0-9]+)? ?/ ?10') AS has_score FROM conversations")
-def _(v):
-    return v.table("conversations").select("conv_id", "turn", F.length("text").alias("chars"), (F.length("text") > 200).alias("too_long"), F.col("text").rlike(r"[0-9]+(\.[0-9]+)? ?/ ?10").alias("has_score"))
-
-
-@q("q_hub_rows", "SELECT gid, name, printf('%.2f', score) AS score, tier, CASE WHEN hc IS NULL THEN '' ELSE CAST(CAST(round_even(hc,0) AS BIGINT) AS VARCHAR) END AS staff, place FROM ranked WHERE place<=50", "ranked")
-def _(v):
-    top = S.queue(scored(v), 50).withColumn("place", F.row_number().over(Window.orderBy(*S.best_first())))
-    return top.select("gid", "name", F.format_string("%.2f", "score").alias("score"), "tier", F.coalesce(F.rint("hc").cast("long").cast("string"), F.lit("")).alias("staff"), "place")
-
-
 @q("q_term_scan", "SELECT DISTINCT doc_id FROM documents, (SELECT lower(substr(text,1,12)) AS term FROM benchmark) t WHERE contains(lower(text), term)")
 def _(v):
     terms = [r[0] for r in v.table("benchmark").select(F.lower(F.substr("text", F.lit(1), F.lit(12)))).distinct().collect()]  # a configured list
