@@ -168,7 +168,7 @@ _STEP = "SELECT conv_id, turn, turn%4=0 AS search, row_number() OVER (PARTITION
 
 
 @q("q_replay_steps", f"""SELECT 'g'||conv_id%50 AS lead, 'k'||conv_id AS key, count(*) FILTER (search) AS searches, count(*) FILTER (NOT search) AS fetches, conv_id*7 AS tokens, round_even((conv_id*0.01)::DOUBLE,4) AS usd,
- string_agg(CASE WHEN search THEN 'search:q'||turn||'::'||CASE WHEN answer IS NULL THEN '' ELSE '2 results: a'||size||'.example, b.example' END ELSE 'fetch:https://f'||turn||'.example:Read it:'||CASE WHEN w>=20 THEN 'Read about '||format('{:,}',CAST(round_even(w,-1) AS BIGINT))||' words' ELSE '' END END, ' ' ORDER BY turn) AS steps
+ string_agg(CASE WHEN search THEN 'search:q'||turn||'::'||CASE WHEN answer IS NULL THEN '' ELSE '2 results: a'||size||'.example, b.example' END ELSE 'fetch:https://f'||turn||'.example:Read it:'||CASE WHEN w>=20 THEN 'Read about '||format('{{:,}}',CAST(round_even(w,-1) AS BIGINT))||' words' ELSE '' END END, ' ' ORDER BY turn) AS steps
  FROM (SELECT *, CASE WHEN answer IS NULL THEN 0 ELSE {_WORDS.format("answer")} END AS w FROM ({_STEP}) WHERE turn%2=0) WHERE conv_id IN (SELECT max(conv_id) FROM conversations GROUP BY conv_id%50) GROUP BY conv_id""")
 def _(v):
     c = v.table("conversations")
