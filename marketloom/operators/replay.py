@@ -20,10 +20,10 @@ def last_runs(ledger: DataFrame) -> DataFrame:
     last = lines.groupBy("lead").agg(F.max_by(F.struct("key", "model", "backend"), "line").alias("last"))
     first = Window.partitionBy("lead", "key").orderBy("line")
     final = lines.join(last, "lead").withColumn("final", F.max("line").over(Window.partitionBy("lead")))
-    once = final.where(((F.col("last.backend") != "cli") & F.col("model").eqNullSafe(F.col("last.model"))) | (F.col("line") == F.col("final")))
+    once = final.where((~F.col("last.backend").eqNullSafe(F.lit("cli")) & F.col("model").eqNullSafe(F.col("last.model"))) | (F.col("line") == F.col("final")))
     once = once.withColumn("n", F.row_number().over(first)).where("n = 1")
     tokens = sum((F.coalesce(c, F.lit(0)) for c in ("input_tokens", "cache_write_tokens", "cache_read_tokens", "output_tokens")), F.lit(0))
-    cost = F.coalesce(F.when(F.col("last.backend") == "cli", F.col("notional_usd")).otherwise(F.col("usd")), F.lit(0.0))
+    cost = F.coalesce(F.when(F.col("last.backend").eqNullSafe(F.lit("cli")), F.col("notional_usd")).otherwise(F.col("usd")), F.lit(0.0))
     out = once.groupBy("lead", "last").agg(F.sum(tokens).cast("long").alias("tokens"), F.sum(cost).alias("usd"))
     return out.select("lead", "last.key", "last.model", (F.coalesce("last.backend", F.lit("")) == "cli").alias("notional"), "tokens", (F.rint(F.col("usd") * 1e4) / 1e4).alias("usd"))
 

@@ -176,5 +176,5 @@ def replayed(wanted: DataFrame, stored: DataFrame, mode: str = "normal") -> Data
 
 def stored_table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """(key, response) of the files of a folder, by Spark's readers, so that a cluster reads them in parallel. response: struct of `schema`."""
-    files = spark.read.option("wholetext", True).text(folder, pathGlobFilter="*.json").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("key"), "value")
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("key"), "value")
     return files.select(F.expr("try_url_decode(key)").alias("key"), F.from_json("value", schema).alias("response"))
