@@ -1,4 +1,4 @@
 """Queries over the driver's tables."""
 
-from . import handoff, market, scoring  # noqa: F401
+from . import handoff, insight, market, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
