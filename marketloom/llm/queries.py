@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, contamination, jaccard, licenses, mixing, quality, repeats, secrets, sql, urls, warc
+from . import classifier, contamination, jaccard, licenses, mixing, negatives, quality, repeats, secrets, spelling, sql, topk, urls, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +65,30 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.fit(docs))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_docs(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    noisy = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    found = negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), vec_id % 50 == 0, noisy, scale=256)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", F.col("positive_score").cast("long"), F.col("negative_score").cast("long"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5, scale=256)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_license_scan, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_warc_round_trip, op7_source_mix, op8_decontamination,
-        op9_secret_scan, op10_quality_classifier,
+        op9_secret_scan, op10_quality_classifier, op11_spelling_variants, op12_hard_negatives, op13_exact_top_k,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": sql.OP1, "op2_license_scan": sql.OP2, "op3_jaccard_join": sql.OP3, "op4_quality_rules": sql.OP4, "op6_warc_round_trip": sql.OP6,
-    "op8_decontamination": sql.OP8, "op9_secret_scan": sql.OP9,
+    "op8_decontamination": sql.OP8, "op9_secret_scan": sql.OP9, "op11_spelling_variants": sql.OP11, "op12_hard_negatives": sql.OP12,
+    "op13_exact_top_k": sql.OP13,
 }

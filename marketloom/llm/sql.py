@@ -176,3 +176,59 @@ judged AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM judged
 """
+
+#: Reflected CRC-32, a nibble at a time: what each of the 16 nibbles adds.
+def _nibble(x: int) -> int:
+    for _ in range(4):
+        x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+_TABLE = "[" + ", ".join(str(_nibble(i)) for i in range(16)) + "]::BIGINT[]"
+#: Hex digits of the bytes, the low one of each first.
+_DIGITS = "[strpos('0123456789ABCDEF', d) - 1 for d in string_split(regexp_replace(hex(encode(k)), '(.)(.)', '\\2\\1', 'g'), '')]"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_DIGITS}), lambda c, d: xor(({_TABLE})[((xor(c, d) & 15) + 1)], c >> 4)), 4294967295::BIGINT)"
+OP11 = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+),
+counted AS (SELECT id || ':' || run AS k, run, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, c, {_CRC} AS h FROM counted),
+typed AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+places AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+gaps AS MATERIALIZED (SELECT word, n, p, left(word, p - 1) || substring(word, p + 1) AS gap FROM places),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.p = b.p AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.gap = w.word
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.gap = w.word
+),
+best AS (SELECT word, other, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS r, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+formed AS MATERIALIZED (
+  SELECT w.word, CASE WHEN b.n >= 2 * w.n THEN other END AS form, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND r = 1
+),
+paths AS (SELECT word, word AS root FROM formed UNION ALL SELECT p.word, f.form FROM paths p JOIN formed f ON f.word = p.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN paths p ON p.word = f.word JOIN formed e ON e.word = p.root AND e.form IS NULL
+"""
+
+_VECTORS = """SELECT vec_id AS id, label, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"""
+OP12 = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT id, CASE WHEN id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({_VECTORS}) WHERE label IS NOT NULL
+),
+scores AS MATERIALIZED (
+  SELECT a.id AS anchor, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s FROM vectors a JOIN vectors b ON b.id <> a.id WHERE a.id % 50 = 0
+),
+positives AS (SELECT anchor, id, s FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY s DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.s DESC, n.id))::INT AS rank, n.id AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+QUALIFY rank <= 3
+"""
+OP13 = f"""
+WITH vectors AS MATERIALIZED ({_VECTORS}),
+scores AS (SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM vectors q JOIN vectors c ON c.id <> q.id WHERE q.id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM scores QUALIFY rank <= 5
+"""
