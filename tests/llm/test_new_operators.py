@@ -101,7 +101,7 @@ def points():
         rows.append((i, v, int(r.integers(0, 3))))
     rows += [(900 + i, rows[0][1], i % 3) for i in range(300)]  # copies of one vector: ties in every block
     rows += [(1300, None, 1), (1350, [0.1, None, 0.2], 1), (1400, [float("nan")] * 6, 1), (1450, [float("inf")] + [0.0] * 5, 2), (1500, [], 1), (1550, [0.0] * 6, 2), (1600, [0.5, -0.25], 1)]
-    rows += [(None, rows[3][1], 1), (1650, rows[4][1], None), (50, rows[50][1], rows[50][2]), (100, [-1.0] * 6, 0), (1700, [-x for x in rows[0][1]], 2), (1750, [0.9, 0, 0, 0, 0, 0], 77)]
+    rows += [(None, rows[3][1], 1), (1650, rows[4][1], None), (50, rows[50][1], rows[50][2]), (100, [-1.0] * 6, 0), (1700, [-x for x in rows[0][1]], 2), (1750, [0.9, 0.0, 0.0, 0.0, 0.0, 0.0], 77)]
     return rows
 
 
