@@ -1 +1,8 @@
-"""marketloom: market mapping and lead scoring on PySpark."""
+"""Market mapping and lead scoring on PySpark, and operators of a training-data pipeline."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the functions themselves, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..stage import handed_over
+from .quantile import quantiles
 
 #: Fixed value: a group without any line.
 UNKNOWN = "unknown (no certification)"
@@ -37,4 +39,6 @@ def mix_by_population(groups: DataFrame, populations: dict[str, Column], top: in
 def tier_profile(leads: DataFrame, signals: list[str]) -> DataFrame:
     """(tier, groups, the mean of each signal, median_headcount, companies_per_group) of leads (tier, signals, headcount, members: a number)."""
     means = [N.rounded(F.avg(s), 2).alias(s) for s in signals]
-    return leads.groupBy("tier").agg(F.count("*").alias("groups"), *means, N.rounded(F.median("headcount"), 2).alias("median_headcount"), N.rounded(F.avg("members"), 2).alias("companies_per_group"))
+    leads = handed_over(leads.select("tier", *signals, "headcount", "members"), "leads")
+    middle = quantiles(leads, "headcount", {"mid": 0.5}, ["tier"]).select("tier", N.rounded(F.col("mid"), 2).alias("median_headcount"))
+    return leads.groupBy("tier").agg(F.count("*").alias("groups"), *means, N.rounded(F.avg("members"), 2).alias("companies_per_group")).join(middle, "tier").select("tier", "groups", *signals, "median_headcount", "companies_per_group")

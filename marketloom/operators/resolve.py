@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..stage import discard, handed_over, stored_bytes
 
 #: A hot node's edges are joined in so many pieces.
 PIECES = 8
@@ -18,15 +17,62 @@ PIECES = 8
 DIRECTORY, SHARED_ADDRESS = 21, 3
 
 
-def handed_over(df: DataFrame) -> DataFrame:
-    """Written as Parquet to the folder of spark.checkpoint.dir and read again: computed once, and safe from lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{(folder or os.path.join(tempfile.gettempdir(), 'checkpoints')).rstrip('/')}/resolve-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Nodes that a task holds before it sends what it has; bytes of edges up to which one task joins all that is left. Cost alone differs.
+NODES, SMALL = 1 << 20, 16 << 20
+
+
+class Forest:
+    """Union-find with path halving; the smaller of two roots is the root of both."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def find(self, x):
+        p = self.parent
+        while (up := p.setdefault(x, x)) != x:
+            p[x] = x = p[up]
+        return x
+
+    def link(self, a, b) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def edges(self) -> pa.RecordBatch:
+        """(a, b): each node that is no root with its root; nothing is held after it."""
+        found = [(x, r) for x in self.parent if (r := self.find(x)) != x]
+        self.parent = {}
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the edges (a, b) of a task, in place of them."""
+    held = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.link(a, b)
+        if len(held.parent) > NODES:
+            yield held.edges()
+    yield held.edges()
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, a, b) of a task's (id, key): edges without a key, and for each key one of its ids in b."""
+    held, first = Forest(), {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        keys = pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.nulls(len(first), pa.int64()), pa.array(list(first.values()), pa.int64())], ["key", "a", "b"])
+        edges = held.edges()
+        first.clear()
+        yield keys
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(edges), pa.string()), *edges.columns], ["key", "a", "b"])
+
+    for batch in batches:
+        for i, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.link(i, first.setdefault(key, i))
+        if len(held.parent) + len(first) > NODES:
+            yield from sent()
+    yield from sent()
 
 
 def _pointed(edges: DataFrame) -> DataFrame:
@@ -39,20 +85,30 @@ def _pointed(edges: DataFrame) -> DataFrame:
     return out.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def components(keys: DataFrame) -> DataFrame:
-    """(id, root) for every id of (id, key): the smallest id that shared keys lead to.
-
-    A key links its members to its smallest one, never to one another in pairs. A round is written once; rounds grow with the logarithm of the
-    longest path, and end when every node points at its root alone."""
-    least = keys.groupBy("key").agg(F.min("id").alias("root"))
-    edges = handed_over(keys.join(least, "key").select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
-    while True:
-        stars = edges.groupBy("a").agg(F.count("*").alias("n"))
+def linked(keys: DataFrame) -> DataFrame:
+    """(id, root) for the ids of (id, key) that shared keys lead to a smaller id, the smallest.
+
+    Each task joins what its own rows link, and sends a forest and one id a key: a key that is everywhere is sent once a task. The same again by key leaves
+    forests of what is linked across tasks. Little of it is joined in one task; more by rounds in which neighbours point at their
+    least node and tasks join what they have, until each node points at its root alone: rounds grow with the logarithm of the longest path."""
+    sent = handed_over(keys.where("id IS NOT NULL AND key IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("key").cast("string").alias("key")).mapInArrow(_members, "key string, a long, b long"), "members")
+    met = sent.where("key IS NOT NULL").select(F.col("b").alias("id"), "key").repartition("key").mapInArrow(_members, "key string, a long, b long")
+    edges = handed_over(sent.where("key IS NULL").union(met.where("key IS NULL")).select("a", "b"), "edges")
+    discard(sent)
+    while stored_bytes(edges) > SMALL:
+        before, edges = edges, handed_over(_pointed(edges).mapInArrow(_forest, "a long, b long"), "edges")
+        discard(before)
         # done when each node has one edge, to a node that has none itself
-        if edges.join(stars, "a").where("n > 1").limit(1).isEmpty() and edges.join(stars.select(F.col("a").alias("b")), "b", "left_semi").limit(1).isEmpty():
-            break
-        edges = handed_over(_pointed(edges))
-    return keys.select("id").distinct().join(edges.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up")).unionAll(edges.select(F.col("b").alias("x"), F.lit(0).alias("up")))
+        seen = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("down"))
+        if seen.where("ups > 1 OR ups = 1 AND down = 0").isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return edges.coalesce(1).mapInArrow(_forest, "a long, b long").select(F.col("a").alias("id"), F.col("b").alias("root"))
+
+
+def components(keys: DataFrame) -> DataFrame:
+    """(id, root) for every id of (id, key): the smallest id that shared keys lead to."""
+    return keys.select("id").distinct().join(linked(keys), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def company_keys(companies: DataFrame) -> DataFrame:
@@ -92,7 +148,7 @@ def expanded(candidates: DataFrame, officers: DataFrame, known: DataFrame, prefi
 
 def with_roots(companies: DataFrame, keys: DataFrame) -> DataFrame:
     """Companies with the root of their group; one that shares no key is its own."""
-    return companies.join(components(keys), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return companies.join(linked(keys), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def link_keys(keys: DataFrame, caps: dict[str, int]) -> DataFrame:

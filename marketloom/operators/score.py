@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.numbers import rounded, size_curve
 from ..functions.text import fixed
+from .rank import SMALL, numbered
 
 
 def values(signals: DataFrame, market: DataFrame, grades: DataFrame, heads: DataFrame, cfg: Config) -> DataFrame:
@@ -30,33 +31,43 @@ def tier(score: Column, cfg: Config) -> Column:
     return F.when(score >= cfg.tier_a, "A").when(score >= cfg.tier_b, "B").otherwise("C")
 
 
-def scored(signals: DataFrame, market: DataFrame, grades: DataFrame, heads: DataFrame, cfg: Config, weights: dict[str, float] | None = None) -> DataFrame:
-    ids = [s.id for s in cfg.signals]
-    wide = values(signals, market, grades, heads, cfg).groupBy("gid", "name").pivot("signal", ids).agg(F.max("v")).fillna(0.0, ids)
-    backed = signals.where("status = 'ok'").groupBy("gid").agg(F.count_if(F.col("found") & (F.col("n_evidence") > 0)).alias("evidence_backed"))
-    about = market.join(heads, "gid", "left").select("gid", F.coalesce("headcount", "mid").alias("hc"), F.when(F.col("headcount").isNotNull(), "regrade").when(F.col("mid").isNotNull(), "registry").alias("hc_source"), "is_reference", "pre_score", "region")
-    out = wide.join(backed, "gid").join(about, "gid").withColumn("score", weighted(weights or cfg.weights))
-    return out.withColumn("tier", tier(F.col("score"), cfg))
+def wide(signals: DataFrame, market: DataFrame, grades: DataFrame, heads: DataFrame, cfg: Config) -> DataFrame:
+    """A row a lead: its values by signal, evidence_backed and what the market says of it. Signals are gathered in one pass; the size curve, which is of
+    the lead and not of the signal, is put in after it."""
+    size = cfg.segment.size_signal
+    given = F.coalesce("grade", "value", F.lit(0.0))
+    full = F.col("value") == 1
+    of = lambda s, v: F.max(F.when(F.col("signal") == s, v))
+    gathered = [of(s.id, F.when(~F.coalesce(full, F.lit(False)), given) if s.id == size else given).alias(s.id) for s in cfg.signals]
+    at_full = [of(size, F.when(full, given)).alias("at_full")] if size else []
+    ok = signals.where("status = 'ok'").join(grades, ["gid", "signal"], "left")
+    backed = F.count_if(F.col("found") & (F.col("n_evidence") > 0)).alias("evidence_backed")
+    rows = ok.groupBy("gid").agg(F.max("name").alias("name"), *gathered, *at_full, backed)
+    hc = F.coalesce("headcount", "mid")
+    about = market.join(heads, "gid", "left").select(
+        "gid", hc.alias("hc"), F.when(F.col("headcount").isNotNull(), "regrade").when(F.col("mid").isNotNull(), "registry").alias("hc_source"), size_curve(hc, cfg.segment).alias("curve"), "is_reference", "pre_score", "region"
+    )
+    out = rows.join(about, "gid")
+    if size:
+        out = out.withColumn(size, F.greatest(F.col(size), F.when(F.col("at_full").isNotNull(), F.coalesce("curve", "at_full"))))
+    return out.fillna(0.0, [s.id for s in cfg.signals]).drop("curve", "at_full")
+
+
+def with_score(rows: DataFrame, cfg: Config, weights: dict[str, float] | None = None) -> DataFrame:
+    return rows.withColumn("score", weighted(weights or cfg.weights)).withColumn("tier", tier(F.col("score"), cfg))
 
 
+def scored(signals: DataFrame, market: DataFrame, grades: DataFrame, heads: DataFrame, cfg: Config, weights: dict[str, float] | None = None) -> DataFrame:
+    return with_score(wide(signals, market, grades, heads, cfg), cfg, weights)
 
-def best_first() -> list[Column]:
-    return [F.desc("score"), F.desc("evidence_backed"), F.asc("name"), F.asc("gid")]
 
+def best_first(score: str = "score") -> list[Column]:
+    return [F.desc(score), F.desc("evidence_backed"), F.asc("name"), F.asc("gid")]
 
-def ranked(table: DataFrame) -> DataFrame:
-    """rank over all, place among leads that are no reference.
 
-    Scores have two decimals and evidence is counted in signals, so that there are a few thousand pairs of them at most, whatever the market's size:
-    how many leads come before a pair is summed over the pairs, and only leads of one pair are sorted together."""
-    pair = ["score", "evidence_backed"]
-    before = Window.orderBy(F.desc("score"), F.desc("evidence_backed")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = table.groupBy(*pair).agg(F.count("*").alias("n"), F.count_if(~F.col("is_reference")).alias("m"))
-    ahead = counts.select(*pair, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m"))
-    within = Window.partitionBy(*pair).orderBy("name", "gid")
-    leads = F.count_if(~F.col("is_reference")).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    found = table.join(ahead, pair).withColumn("rank", (F.col("n") + F.row_number().over(within)).cast("int"))
-    return found.withColumn("place", F.when(~F.col("is_reference"), (F.col("m") + leads).cast("int"))).drop("n", "m")
+def ranked(table: DataFrame, score: str = "score", names: tuple[str, str] = ("rank", "place"), small: int = SMALL) -> DataFrame:
+    """rank over all, place among leads that are no reference. Any number of leads may tie in score and evidence: see `numbered`."""
+    return numbered(table, best_first(score), {names[0]: None, names[1]: ~F.col("is_reference")}, small)
 
 
 def queue(table: DataFrame, size: int) -> DataFrame:

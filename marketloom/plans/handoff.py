@@ -11,6 +11,7 @@ from ..operators import handoff as H
 from ..operators import replay as P
 from ..operators import resolve
 from ..operators import score as S
+from ..operators.quantile import quantiles
 from ..sources.cached import quoted, request_key_column
 from .registry import q
 from .scoring import R, once, scored
@@ -293,8 +294,9 @@ def _(v):
 
 @q("q_map_iqr", "SELECT id FROM co, (SELECT median(bal) AS m, quantile_cont(bal,0.75)-quantile_cont(bal,0.25) AS i FROM co) WHERE bal BETWEEN m-3*i AND m+3*i", "co")
 def _(v):
-    p = v.co.agg(F.percentile("bal", [0.25, 0.5, 0.75]).alias("p"))
-    return v.co.join(F.broadcast(p), F.lit(True)).where("bal BETWEEN p[1] - 3 * (p[2] - p[0]) AND p[1] + 3 * (p[2] - p[0])").select("id")
+    co = v.staged.co
+    p = quantiles(co, "bal", {"a": 0.25, "b": 0.5, "c": 0.75})
+    return co.join(F.broadcast(p), F.lit(True)).where("bal BETWEEN b - 3 * (c - a) AND b + 3 * (c - a)").select("id")
 
 
 @q("q_named_groups", "SELECT gid, name FROM mk WHERE gid IN ('g3','g1','g2')", "mk")

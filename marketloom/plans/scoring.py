@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import score as S
+from ..operators import terms
+from ..operators.quantile import quantiles
+from ..stage import handed_over
 from .registry import q
 from .testbed import SIGNALS
 
 
 def scored(v, weights=None):
+    v = v.staged
     return S.scored(v.sg, v.mk, v.grades, v.heads, v.cfg, weights)
 
 
@@ -134,8 +138,8 @@ WEIGHTS = {"size_fit": 3.0, "product_mix": 0.0, "growth": 5.0, "tech_maturity":
 
 
 def reranked(v):
-    old, new = ranked(v).select("gid", "name", "score", "rank", "place"), ranked(v, WEIGHTS).select("gid", F.col("score").alias("new_score"), F.col("rank").alias("new_rank"), F.col("place").alias("new_place"))
-    return old.join(new, "gid")
+    both = scored(v).withColumn("new_score", S.weighted(WEIGHTS)).select("gid", "name", "evidence_backed", "is_reference", "score", "new_score")
+    return S.ranked(S.ranked(both), "new_score", ("new_rank", "new_place"))
 
 
 @q("q_rerank", f"SELECT gid, score, new_score, rank, new_rank, rank-new_rank AS rank_change FROM ({_RE})", "ranked")
@@ -193,7 +197,8 @@ def _(v):
 @q("q_cost_summary", f"SELECT round_even(avg(x),6) AS mean, round_even(quantile_cont(x,0.5),6) AS p50, round_even(quantile_cont(x,0.9),6) AS p90, round_even(max(x),6) AS most FROM (SELECT lead, sum(input_tokens)::DOUBLE AS x FROM {_ONE} GROUP BY lead)", "lg")
 def _(v):
     x = once(v).groupBy("lead").agg(F.sum("input_tokens").cast("double").alias("x"))
-    return x.agg(R(F.avg("x"), 6).alias("mean"), R(F.percentile("x", 0.5), 6).alias("p50"), R(F.percentile("x", 0.9), 6).alias("p90"), R(F.max("x"), 6).alias("most"))
+    x = handed_over(x, "leads")
+    return x.agg(R(F.avg("x"), 6).alias("mean"), R(F.max("x"), 6).alias("most")).join(quantiles(x, "x", {"p50": 0.5, "p90": 0.9})).select("mean", R(F.col("p50"), 6).alias("p50"), R(F.col("p90"), 6).alias("p90"), "most")
 
 
 @q("q_cache_hit", "SELECT purpose, round_even(coalesce(sum(cache_read)/nullif(sum(cache_read+input_tokens),0),0)::DOUBLE,6) AS rate FROM lg GROUP BY purpose", "lg")
@@ -258,7 +263,9 @@ def _(v):
 
 @q("q_by_level", "SELECT pre_score, count(*) AS n, median(score) AS mid, round_even(avg(CASE WHEN tier='A' THEN 1.0 ELSE 0.0 END),6) AS share_a FROM scored WHERE NOT is_reference GROUP BY pre_score", "scored")
 def _(v):
-    return scored(v).where("NOT is_reference").groupBy("pre_score").agg(F.count("*").alias("n"), F.median("score").alias("mid"), R(F.avg(F.when(F.col("tier") == "A", 1.0).otherwise(0.0)), 6).alias("share_a"))
+    s = handed_over(scored(v).where("NOT is_reference").select("pre_score", "score", "tier"), "leads")
+    level = s.groupBy("pre_score").agg(F.count("*").alias("n"), R(F.avg(F.when(F.col("tier") == "A", 1.0).otherwise(0.0)), 6).alias("share_a"))
+    return level.join(quantiles(s, "score", {"mid": 0.5}, ["pre_score"]), "pre_score")
 
 
 @q("q_topn_overlap", "SELECT count(*) AS n FROM (SELECT gid FROM ranked WHERE place<=50 INTERSECT SELECT gid FROM (SELECT gid FROM scored ORDER BY pre_score DESC, gid LIMIT 50))", "ranked")
@@ -289,13 +296,15 @@ def _(v):
 
 @q("q_by_tier", "SELECT tier, count(*) AS n, round_even(avg(growth),6) AS growth, median(hc) AS headcount FROM scored WHERE NOT is_reference GROUP BY tier", "scored")
 def _(v):
-    return scored(v).where("NOT is_reference").groupBy("tier").agg(F.count("*").alias("n"), R(F.avg("growth"), 6).alias("growth"), F.median("hc").alias("headcount"))
+    s = handed_over(scored(v).where("NOT is_reference").select("tier", "growth", "hc"), "leads")
+    return s.groupBy("tier").agg(F.count("*").alias("n"), R(F.avg("growth"), 6).alias("growth")).join(quantiles(s, "hc", {"headcount": 0.5}, ["tier"]), "tier")
 
 
 @q("q_size_ratio", "SELECT round_even(median(r),6) AS mid, count(*) FILTER (WHERE r>1.5) AS above, count(*) FILTER (WHERE r<1/1.5) AS below FROM (SELECT headcount/nullif(mid,0) AS r FROM heads JOIN mk USING (gid))", "heads mk")
 def _(v):
     r = v.heads.join(v.mk, "gid").select(F.try_divide("headcount", "mid").alias("r"))
-    return r.agg(R(F.median("r"), 6).alias("mid"), F.count_if(F.col("r") > 1.5).alias("above"), F.count_if(F.col("r") < 1 / 1.5).alias("below"))
+    r = handed_over(r, "ratios")
+    return r.agg(F.count_if(F.col("r") > 1.5).alias("above"), F.count_if(F.col("r") < 1 / 1.5).alias("below")).join(quantiles(r, "r", {"mid": 0.5})).select(R(F.col("mid"), 6).alias("mid"), "above", "below")
 
 
 @q("q_regions", "SELECT r_name AS region, count(*) AS market, count(*) FILTER (WHERE mid BETWEEN 30 AND 300) AS in_segment, count(score) AS researched, count(*) FILTER (WHERE place<=50) AS queued, count(*) FILTER (WHERE tier='A')/nullif(count(score),0)::DOUBLE AS tier_a_rate FROM mk JOIN region ON r_regionkey=mk.region LEFT JOIN (SELECT gid, score, tier, place FROM ranked) s USING (gid) GROUP BY 1", "ranked mk")
@@ -383,11 +392,15 @@ def _(v):
     return v.table("pages").select("page_id", F.coalesce(F.when((F.col("page_id") % 3 != 0) & ~host.startswith("blog."), host), F.concat(F.lit("site"), "page_id", F.lit(".example"))).alias("domain"))
 
 
-@q("q_term_scan", "SELECT DISTINCT doc_id FROM documents, (SELECT lower(substr(text,1,12)) AS term FROM benchmark) t WHERE contains(lower(text), term)")
+@q("q_term_scan", "SELECT doc_id, count(DISTINCT term)::INT AS n_terms FROM documents, (SELECT DISTINCT lower(text) AS term FROM benchmark WHERE text <> '') t WHERE contains(lower(text), term) GROUP BY doc_id")
 def _(v):
-    terms = [r[0] for r in v.table("benchmark").select(F.lower(F.substr("text", F.lit(1), F.lit(12)))).distinct().collect()]  # a configured list
-    low = F.lower("text")
-    return v.table("documents").where(F.exists(F.array(*map(F.lit, terms)), lambda t: low.contains(t))).select("doc_id")
+    return terms.scan(v.table("documents"), F.lower("text"), v.table("benchmark"), F.lower("text"), ["doc_id"])
+
+
+@q("q_term_scan_words", "SELECT doc_id, count(*)::INT AS n_terms FROM documents, (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS w FROM benchmark)) t WHERE contains(lower(text), term) GROUP BY doc_id")
+def _(v):
+    words = v.table("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0))).alias("w"))
+    return terms.scan(v.table("documents"), F.lower("text"), words, F.lower("w"), ["doc_id"])
 
 
 # event windows

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..stage import handed_over
 
 TODAY = "1998-08-02"
 SIGNALS = ("size_fit", "product_mix", "growth", "tech_maturity")
@@ -34,6 +35,13 @@ class Views:
         band = F.when(k == 0, "NN").when(k <= 2, "03").when(k <= 5, "11").when(k <= 9, "12").when(k <= 13, "21").when(k <= 19, "22").otherwise("31")
         return all_.select("*", band.alias("band"), F.concat(F.lit("g"), "id").alias("gid"), (F.col("bal") > 0).alias("active"), F.when(F.col("id") % 3 == 0, "both").when(F.col("id") % 3 == 1, "registry").otherwise("register").alias("source"))
 
+    @cached_property
+    def staged(self) -> Views:
+        """The same with companies as a stage table: what is derived from them several times reads it."""
+        other = Views(self.spark, self.dir)
+        other.__dict__.update(co=handed_over(self.co, "companies"), staged=other)
+        return other
+
     @cached_property
     def sg(self) -> DataFrame:
         """Signals in long form."""
