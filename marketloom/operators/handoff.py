@@ -82,6 +82,11 @@ def contact_rows(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("`Company Domain Name`") != "") & ((F.col("`First Name`") != "") | (F.col("`Last Name`") != ""))).select(*(f"`{c}`" for c in CONTACT_COLUMNS))
 
 
+#: What is said of a broken rule, and what counts as a score or tier.
+TOO_LONG, TOO_MANY, NO_ITEM, TOO_FAMILIAR, SHOWN, UNNAMED = " words (limit {})", " characters (limit {})", " is no evidence item", "informal address: ", "a score or tier in the copy", " not named"
+SCORE_OR_TIER = r"(?i)\b(score|scoring|tier|rubri\w*)\b|\b\d+(?:[.,]\d+)?\s*/\s*10\b"
+
+
 def copy_flags(sequence: Column, numbers: Column, score: Column, outreach: Outreach | None = None) -> Column:
     """What breaks a rule in a drafted sequence. numbers: of the lead's evidence items; score: a text with one decimal, or null."""
     o = outreach or Outreach()
@@ -89,17 +94,17 @@ def copy_flags(sequence: Column, numbers: Column, score: Column, outreach: Outre
     flags = []
     for name, most in (("email_1_body", EMAIL_1_WORDS), ("email_2_body", EMAIL_2_WORDS)):
         n = T.n_words(sequence[name])
-        flags.append(F.when(n > most, F.concat(F.lit(f"{name}: "), n.cast("string"), F.lit(f" words (limit {most})"))))
+        flags.append(F.when(n > most, F.concat(F.lit(f"{name}: "), n.cast("string"), F.lit(TOO_LONG.format(most)))))
     n = F.length(sequence["linkedin"])
-    flags.append(F.when(n > NOTE_CHARS, F.concat(F.lit("linkedin: "), n.cast("string"), F.lit(f" characters (limit {NOTE_CHARS})"))))
+    flags.append(F.when(n > NOTE_CHARS, F.concat(F.lit("linkedin: "), n.cast("string"), F.lit(TOO_MANY.format(NOTE_CHARS)))))
     hook = sequence["hook_evidence"]
-    flags.append(F.when(~F.array_contains(numbers, hook), F.concat(F.lit("hook_evidence "), hook.cast("string"), F.lit(" is no evidence item"))))
+    flags.append(F.when(~F.array_contains(numbers, hook), F.concat(F.lit("hook_evidence "), hook.cast("string"), F.lit(NO_ITEM))))
     words = F.flatten(F.transform(copy, lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"((?U)\w+)"), F.lit(1))))
     informal = F.array_sort(F.array_intersect(F.array_distinct(words), F.array(*map(F.lit, INFORMAL.get(o.language, ()))).cast("array<string>")))
-    flags.append(F.when(F.size(informal) > 0, F.concat(F.lit("informal address: "), F.array_join(informal, ", "))))
-    shown = lambda t: t.rlike(r"(?i)\b(score|scoring|tier|rubri\w*)\b|\b\d+(?:[.,]\d+)?\s*/\s*10\b") | F.coalesce(t.contains(score) | t.contains(F.replace(score, F.lit("."), F.lit(","))), F.lit(False))
-    flags.append(F.when(F.exists(copy, shown), F.lit("a score or tier in the copy")))
-    flags.append(F.when(~F.exists(copy, lambda t: F.lower(t).contains(o.vendor.lower())), F.lit(f"{o.vendor} not named")))
+    flags.append(F.when(F.size(informal) > 0, F.concat(F.lit(TOO_FAMILIAR), F.array_join(informal, ", "))))
+    shown = lambda t: t.rlike(SCORE_OR_TIER) | F.coalesce(t.contains(score) | t.contains(F.replace(score, F.lit("."), F.lit(","))), F.lit(False))
+    flags.append(F.when(F.exists(copy, shown), F.lit(SHOWN)))
+    flags.append(F.when(~F.exists(copy, lambda t: F.lower(t).contains(o.vendor.lower())), F.lit(o.vendor + UNNAMED)))
     return F.array_compact(F.array(*flags))
 
 

@@ -15,63 +15,6 @@ from marketloom.sources import cached, files, registry
 from marketloom.streaming import ledger
 
 
-def client(tmp_path, answers, **more):
-    now, slept = [0.0], []
-
-    def sleep(s):
-        slept.append(s)
-        now[0] += s
-
-    def send(url, params):
-        x = answers.pop(0)
-        if isinstance(x, Exception):
-            raise x
-        return x
-
-    c = cached.CachedClient("reg", str(tmp_path), send, clock=lambda: now[0], sleep=sleep, **more)
-    return c, slept
-
-
-def test_client_stores_tries_again_and_waits(tmp_path):
-    ok = cached.Response(200, {"total": 3})
-    c, slept = client(tmp_path, [cached.Response(429, retry_after="7"), ConnectionError(), cached.Response(503), ok, ok], per_second=2.0)
-    assert c.get_json("http://x", {"b": 1, "a": "é"}) == {"total": 3} and c.calls == 4
-    assert slept[:3] == [7.0, 2.0, 4.0]
-    assert c.get_json("http://x", {"a": "é", "b": 1}) == {"total": 3} and c.calls == 4
-    assert c.get_json("http://x", {"a": "other"}) == {"total": 3} and slept[-1] == 0.5
-    offline, _ = client(tmp_path, [], mode="offline")
-    assert offline.get_json("http://x", {"a": "é", "b": 1}) == {"total": 3}
-    with pytest.raises(cached.NotStored):
-        offline.get_json("http://y")
-    fresh, _ = client(tmp_path, [cached.Response(200, {"total": 4})], mode="refresh")
-    assert fresh.get_json("http://x", {"a": "é", "b": 1}) == {"total": 4}
-    never, _ = client(tmp_path, [cached.Response(500)] * 8)
-    with pytest.raises(cached.Unreachable):
-        never.get_json("http://z")
-
-
-def test_pages_and_a_cursor_that_repeats(tmp_path):
-    pages = [{"results": [1, 2], "next": "http://x/2"}, {"results": [3], "next": "http://x/3"}, {"results": [], "next": "http://x/2"}]
-    c, _ = client(tmp_path, [cached.Response(200, p) for p in pages])
-    got = []
-    with pytest.raises(RuntimeError, match="repeats"):
-        for row in c.pages("http://x/1", {}):
-            got.append(row)
-    assert got == [1, 2, 3]
-
-
-def test_records(tmp_path):
-    said = []
-    store = cached.RecordStore(str(tmp_path), "record", f"{tmp_path}/ledger.jsonl", lambda r: (said.append(r), ({"a": 1}, {"input_tokens": 5}, 0.25))[1])
-    ask = {"model": "m", "messages": [{"role": "user", "content": "é"}], "stream": True}
-    assert store.answer("research", "g1", ask) == store.answer("research", "g1", {**ask, "stream": False}) == {"a": 1}
-    assert len(said) == 1 and store.spent == 0.25
-    lines = [json.loads(x) for x in open(f"{tmp_path}/ledger.jsonl", encoding="utf-8")]
-    assert [x["replayed"] for x in lines] == [False, True]
-    with pytest.raises(cached.NotStored):
-        cached.RecordStore(str(tmp_path)).answer("research", "g1", {**ask, "model": "n"})
-
-
 def test_stored_responses_as_a_table(spark, tmp_path):
     sinks.replace_json(f"{tmp_path}/k1.json", {"total": 5})
     stored = cached.stored_table(spark, str(tmp_path), "total int").select("key", F.to_json("response").alias("response"))
@@ -135,15 +78,6 @@ def test_csv_and_findings(spark, tmp_path):
     assert sinks.pct(0.256) == "26%" and sinks.text_table([("rows", 12345)]).endswith("12,345")
 
 
-def test_sequences(spark, tmp_path):
-    seq = "struct<email_1_subject:string,email_1_body:string,email_1_body_en:string,email_2_body:string,email_2_body_en:string,linkedin:string,linkedin_en:string>"
-    rows = spark.createDataFrame([(1, "Acme", 9.75, "A", "grows", "acme.example", ("Ann", "Bee", "Gérant", "managing director"), ["flag"], ("q", "e", "u"), ("S", "one\ntwo", "en", "b2", "e2", "li", "le")), (2, "Other", 8.0, "A", "", None, None, [], None, None)], f"queue_rank int, display_name string, score double, tier string, why string, domain string, contact struct<first_name:string,last_name:string,role:string,role_en:string>, flags array<string>, hook struct<quote:string,quote_en:string,url:string>, sequence {seq}").coalesce(1)
-    assert sinks.write_sequences(f"{tmp_path}/s.md", rows, "V", {"c": ("Company", "Name")}) == 2
-    said = open(f"{tmp_path}/s.md", encoding="utf-8").read()
-    for x in ("## 1. Acme", "Score 9.8, tier A: grows", "- Contact: Ann Bee, Gérant (managing director)", "**Flagged:** flag", "Hook: «q» (e) u", "> one\n> two", "## 2. Other", "*No sequence", "| `c` | Company | Name |"):
-        assert x in said, x
-
-
 @pytest.mark.parametrize(("raw", "want"), [
     ("ACME ENERGIE (ACME ENERGIE)", "Acme Energie"), ("SOCIETE DE L'EMERAUDE SARL", "Societe de l'Emeraude SARL"), ("BTP 2000 (SLTE)", "BTP 2000 (SLTE)"), ("LE GALL (LA MAISON VERTE)", "Le Gall (La Maison Verte)"),
     ("Acme  (Autre)", "Acme (Autre)"), ("", ""), (None, ""), ("ÉTÉ AU SUD", "Été au Sud"),
