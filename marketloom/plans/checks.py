@@ -77,7 +77,7 @@ def _(v):
 def _(v):
     folder = new_path(v.spark, "registry")
     indexed.store(v.reg.select("siret", "siren", "domain", "until", "line"), folder, ["domain", "line"])
-    return indexed.load(v.spark, folder).where(F.col("domain").isin("STANDARD", "PROMO") & (F.col("line") == 2))
+    return indexed.scan(v.spark, folder, {"domain": ["STANDARD", "PROMO"], "line": [2]})
 
 
 def _searched(v):
@@ -138,7 +138,7 @@ def _(v):
 # the guard as a stream
 
 _LINES = "SELECT lead, key, event_id, called, backend, purpose, value, (input_tokens*5+cache_read*0.5+output_tokens*25)/1000000.0+searches*0.01 AS usd FROM lg"
-_SUMS = f"SELECT lead AS run, count(*) AS calls, round_even(sum(CASE WHEN backend='api' THEN usd ELSE 0 END)::DOUBLE,6) AS usd FROM (SELECT lead, key, any_value(usd) AS usd, any_value(CASE WHEN event_key THEN 'cli' ELSE 'api' END) AS backend FROM (SELECT *, length(key)%4=0 AS event_key FROM ({_LINES})) GROUP BY lead, key) GROUP BY lead"
+_SUMS = f"SELECT lead AS run, count(*) AS calls, round_even(sum(CASE WHEN backend='api' THEN usd ELSE 0 END)::DOUBLE,3) AS usd FROM (SELECT lead, key, any_value(usd) AS usd, any_value(CASE WHEN event_key THEN 'cli' ELSE 'api' END) AS backend FROM (SELECT *, length(key)%4=0 AS event_key FROM ({_LINES})) GROUP BY lead, key) GROUP BY lead"
 _SHARES = f"SELECT lead AS run, purpose, arg_max(value, (called, event_id))/100.0 AS share FROM ({_LINES}) GROUP BY lead, purpose"
 
 
@@ -153,4 +153,4 @@ def _(v):
     cost = F.round(usd(), 12)
     lines = v.lg.select(F.col("lead").alias("run"), "key", F.col("called").cast("timestamp").alias("at"), F.col("event_id").alias("tie"), cost.alias("usd"), (F.length("key") % 4 == 0).alias("replayed"), F.col("purpose").alias("window"), (F.col("value") / 100.0).alias("share"))
     found = guard.watched(lines, 0.12, 0.7, {"click": 0.9})
-    return found.select("run", "calls", R(F.col("usd"), 6).alias("usd"), "stop")
+    return found.select("run", "calls", R(F.col("usd"), 3).alias("usd"), "stop")

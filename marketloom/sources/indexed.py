@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 FORMAT = "indexed_files"
@@ -46,17 +46,8 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str, schema: StructType, keys: list[str]):
-        self.folder, self.schema, self.keys, self.wanted = folder, schema, keys, {}
-
-    def pushFilters(self, filters: list[Filter]):
-        """Equality and membership of a key choose files and rows here; Spark checks all filters again."""
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in self.keys:
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                have = self.wanted.setdefault(f.attribute[0], values)
-                self.wanted[f.attribute[0]] = have & values
-            yield f
+    def __init__(self, folder: str, schema: StructType, wanted: dict[str, list], keys: list[str]):
+        self.folder, self.schema, self.wanted, self.keys = folder, schema, wanted, keys
 
     def partitions(self):
         found = []
@@ -79,7 +70,11 @@ class _Reader(DataSourceReader):
 
 
 class IndexedSource(DataSource):
-    """`spark.read.format("indexed_files").load(folder)` of a folder that `store` wrote, which driver and executors see: a partition a file."""
+    """`spark.read.format("indexed_files").load(folder)` of a folder that `store` wrote, which driver and executors see: a partition a file. Option
+    `wanted`: JSON of the values wanted by key, which choose files and rows.
+
+    The choice is an option and no pushed filter: Spark keeps what was pushed with the relation, so that of two filters on one loaded table
+    the second would be read with the files of the first."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,10 +87,13 @@ class IndexedSource(DataSource):
         return StructType.fromJson(self._about()["schema"])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], schema, self._about()["keys"])
+        keys, wanted = self._about()["keys"], json.loads(self.options.get("wanted", "{}"))
+        if not set(wanted) <= set(keys):
+            raise ValueError(f"not indexed: {sorted(set(wanted) - set(keys))}; keys are {keys}")
+        return _Reader(self.options["path"], schema, wanted, keys)
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def scan(spark: SparkSession, folder: str, wanted: dict[str, list] | None = None) -> DataFrame:
+    """Rows whose keys have one of the values wanted (not null), from the files that hold any."""
     spark.dataSource.register(IndexedSource)
-    return spark.read.format(FORMAT).load(folder)
+    return spark.read.format(FORMAT).option("wanted", json.dumps(wanted or {})).load(folder)
