@@ -8,8 +8,9 @@ windows of a document that follow one another or touch merge to one span, which
 A task sends each of its anchors and windows once, so a passage that is everywhere costs as many records as there are tasks.
 Equal windows are told by 96 bits of hash over 64-bit hashes of words, so that among n distinct words a false equality has odds of about n * n / 2 ** 65.
 
-Handling: null, empty and blank texts have no words, and nothing goes. Ids are integers and name a text each: rows that repeat an id and its text get the
-same result, and aren't repeats of one another. Texts without an id sort last, by a hash (40 bits), and those with the same text are one. A very
+Handling: null, empty and blank texts have no words, and nothing goes. Rows that repeat an id and its text get the same result, and aren't repeats of
+one another. Texts that share an id are told by a hash, and come in its order; texts without an id come last, by a hash, and those with the same text are
+one. Ids of any type that has an order will do. A very
 long text is read whole. An empty table gives an empty result. Columns beyond id and text are not read, whatever their names.
 """
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rank import numbered
 from . import blobs
 from .storage import discard, materialize, parts_for
 from .words import PRINTED, SECOND_MULTIPLIER, Block, blocks, gram_rows, grams, sliding_min
@@ -211,11 +213,28 @@ def _kept(window: int):
     return run
 
 
+def named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(texts, ids): texts has (id, text) with a number that names one text each, in order of ids; ids says which id a number stands for, where it isn't
+    the id itself. Numbers are the ids if those are integers that name one text each, with texts without an id last, by hash; else texts are ranked by (id,
+    hash of the text), whatever the ids' type."""
+    whole = dict(docs.dtypes)[id_col] in ("int", "bigint", "smallint", "tinyint")
+    tid = F.xxhash64(text_col)
+    if whole:
+        seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), tid.alias("tid")).groupBy("id").agg(F.min("tid").alias("a"), F.max("tid").alias("b"))
+        if seen.where("a <> b").isEmpty():
+            own = F.lit(int(blobs.NO_ID)) - F.pmod(tid, F.lit(NULL_IDS))
+            return docs.select(F.coalesce(F.col(id_col).cast("long"), own).alias("id"), F.col(text_col).alias("text")), None
+    rows = docs.select(F.col(id_col).alias("own"), tid.alias("tid"), F.col(text_col).alias("text"))
+    numbers = materialize(numbered(rows.select("own", "tid").distinct(), [F.asc_nulls_last("own"), F.asc("tid")], {"id": None}).select("own", "tid", F.col("id").cast("long").alias("id")), "numbers")
+    n = numbers.withColumnRenamed("own", "its").withColumnRenamed("tid", "its_tid")
+    met = rows.join(n, F.col("tid").eqNullSafe(F.col("its_tid")) & F.col("own").eqNullSafe(F.col("its")))
+    return materialize(met.select("id", "text"), "named"), numbers.select("id", "own")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """One row a document: its id, n_words, n_removed, spans (word ranges removed, end exclusive) and kept, its other words
     joined by one space."""
-    own = F.lit(int(blobs.NO_ID)) - F.pmod(F.xxhash64(text_col), F.lit(NULL_IDS))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), own).alias("id"), F.col(text_col).alias("text"))
+    texts, own = named(docs, id_col, text_col)
     parts = parts_for(docs)
     sent = texts.mapInArrow(_anchors(window, anchor, parts), blobs.SCHEMA)
     live = materialize(blobs.dealt(sent, parts).mapInArrow(_live(parts), blobs.SCHEMA), "live")
@@ -223,4 +242,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     gone = materialize(blobs.dealt(found, parts).mapInArrow(_removed(parts), blobs.SCHEMA), "removed")
     discard(live)
     out = blobs.with_texts(texts, gone, parts).mapInArrow(_kept(window), f"id long, n_words long, n_removed long, spans {SPANS}, kept string")
+    if own is not None:
+        return out.join(own, "id").select(F.col("own").alias(id_col), "n_words", "n_removed", "spans", "kept")
     return out.select(F.when(F.col("id") <= int(blobs.NO_ID) - NULL_IDS, F.col("id")).alias(id_col), "n_words", "n_removed", "spans", "kept")
