@@ -5,7 +5,7 @@ scanned and what was found in them; only pairs it doesn't have are scanned, each
 findings are joined back to all paths.
 
 Handling: null texts are empty, and stay null when others are redacted. Rows that repeat an id, or have none, are versions of one path, each
-found by its own content. A very long text is one blob. Matches of one kind never overlap; those of two kinds are ordered by start and kind.
+found by its own content; rows that repeat both are scanned once and each get what was found. A very long text is one blob. Matches of one kind never overlap; those of two kinds are ordered by start and kind.
 An empty table gives an empty result. Other columns are kept by `redacted`, whatever their names, and not read.
 """
 
@@ -75,7 +75,8 @@ def update(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "
     if ledger is not None:
         once = once.join(ledger.where(F.col("rule_version") == rule_version), "blob", "left_anti")
     new = materialize(once, "unseen")
-    texts = table.join(new, ["id", "blob"], "left_semi").select("blob", "text")
+    # rows that repeat id and blob are one: dealt as the join dealt them
+    texts = table.join(new, ["id", "blob"], "left_semi").dropDuplicates(["id", "blob"]).select("blob", "text")
     scanned = new.join(scan(texts), "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), "findings")
     return paths, materialize(scanned, "ledger")
 
