@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import SYMBOLS, repeated_lines, repeated_words
-from .storage import id_in, materialize
+from .storage import discard, id_in, materialize
 from .words import PRINTED, Block, blocks
 
 BITS = 12
@@ -115,8 +115,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
     p, chance = em(patterns, n)
     posterior = cast.sparkSession.createDataFrame(pa.table({"pattern": codes.astype(np.int64), "p": p.astype(float)}))  # from Arrow: no Python worker of its own
     labelled = cast.join(F.broadcast(posterior), "pattern").withColumn("order", F.xxhash64("id", "tid"))
-    sides = [labelled.where(side).orderBy("order", "id", "tid").limit(sample // 2) for side in ("p >= 0.5", "p < 0.5")]
-    chosen = materialize(sides[0].unionAll(sides[1]).select("id", "tid", "p").coalesce(1).dropDuplicates(["id", "tid"]), "sample")
+    # rows that repeat id and text take one place of the sample; most are left out before any are compared, by a cut of their hash
+    n_all = float(n.sum())
+    sides = [_first(labelled.where(side), sample // 2, n_all) for side in ("p >= 0.5", "p < 0.5")]
+    chosen = materialize(sides[0].unionAll(sides[1]).select("id", "tid", "p"), "sample")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,6 +135,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: i
     return Model(train(at, x, np.array([r[0] for r in got]), (1 << bits) + N_EXTRA), bits, accuracy, float((p * n).sum() / n.sum()))
 
 
+def _first(rows: DataFrame, most: int, n: float) -> DataFrame:
+    """The `most` distinct (id, tid, p, order) of least order. An order is a 64-bit hash: a cut of it, raised until enough are below it, leaves few rows
+    to tell apart."""
+    share = min(1.0, 4 * most / max(1.0, n))
+    while True:
+        some = rows.where(F.col("order") <= F.lit(int(min(2**63 - 1, -(2**63) + share * 2**64)))).dropDuplicates(["id", "tid"])
+        if share >= 1:
+            return some.orderBy("order", "id", "tid").limit(most)
+        some = materialize(some, "below")
+        if some.count() >= most:
+            return some.orderBy("order", "id", "tid").limit(most)
+        discard(some)
+        share = min(1.0, share * 8)
+
+
 def train(at: list[np.ndarray], x: list[np.ndarray], p: np.ndarray, width: int, steps: int = STEPS, decay: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels, both classes with equal weight, by Adam on the whole sample."""
     w = np.zeros(width)
