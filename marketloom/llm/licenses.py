@@ -2,7 +2,8 @@
 
 A block is a window of a text, wherever its lines end, of as many words as the template has over the threshold, that begins and ends with a
 word of the template. Its containment is the share of the template's distinct words that it has; every block at or over the threshold is
-found, by these filters, and of those that overlap the fullest is told, the first of equal ones:
+found, by these filters, and told, the fullest first (of equal ones the first), unless it overlaps one told before it: twenty sentences in a row are
+twenty blocks:
 
 - global order: template words from the rarest to the most frequent in the whole corpus;
 - prefix: a block that reaches the threshold has one of a template's first n - need + 1 words;
@@ -85,12 +86,20 @@ class _Template:
         for x in self.terms:
             own = np.flatnonzero(h[at] == x)
             n += np.searchsorted(own, end) > np.searchsorted(own, here)
-        last = at[end - 1]
         good = np.flatnonzero(n >= self.need)
-        for run in np.split(good, np.flatnonzero(at[good[1:]] > last[good[:-1]]) + 1):
-            if len(run):
-                best = run[np.argmax(n[run])]
-                yield int(at[best]), int(last[best]), int(n[best])
+        # the fullest first, of equal ones the first: those that overlap none before them
+        taken = np.zeros(len(h), bool)
+        found = []
+        for i in good[np.lexsort((at[good], -n[good]))].tolist():
+            seen: set[int] = set()
+            for j in range(i, int(end[i])):  # it ends with the word that makes it full
+                seen.add(h[at[j]])
+                if len(seen) == n[i]:
+                    break
+            if not taken[at[i] : at[j] + 1].any():
+                taken[at[i] : at[j] + 1] = True
+                found.append((int(at[i]), int(at[j]), int(n[i])))
+        yield from sorted(found)
 
 
 def _by_row(row: np.ndarray, hits: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
