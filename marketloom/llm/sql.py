@@ -84,10 +84,17 @@ found AS (
 ),
 hits AS (SELECT doc_id, count(DISTINCT q) AS h FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM (SELECT DISTINCT doc_id, p, l FROM found)) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS k, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY doc_id),
-totals AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(h, 0)::BIGINT AS n_hit, coalesce(k, 0)::BIGINT AS n_items,
+totals AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+parts AS (SELECT g, unnest(range(l)) AS offs, unnest(string_split(g, ' ')) AS w FROM (SELECT DISTINCT l, g FROM wanted)),
+counts AS (SELECT w, count(*) AS c FROM words WHERE w IN (SELECT w FROM parts) GROUP BY w),
+rare AS (SELECT g, w, offs, coalesce(c, 0) AS c, row_number() OVER (PARTITION BY g ORDER BY coalesce(c, 0), offs, w) AS o FROM parts LEFT JOIN counts USING (w)),
+pairs AS (SELECT a.g, a.w AS w1, a.offs AS o1, b.w AS w2, b.offs AS o2 FROM rare a JOIN rare b ON a.g = b.g AND a.o = 1 AND b.o = 2 WHERE a.c > 0),
+near AS (
+  SELECT x.doc_id, count(*) AS near FROM pairs JOIN words x ON x.w = w1 JOIN words y ON y.w = w2 AND y.doc_id = x.doc_id AND y.p - o2 - (x.p - o1) IN (-2, -1, 1, 2) GROUP BY x.doc_id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(h, 0)::BIGINT AS n_hit, coalesce(k, 0)::BIGINT AS n_items, coalesce(near, 0)::BIGINT AS n_near,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(h, 0) > 0 AND 20 * coalesce(h, 0) >= coalesce(n, 0) AS contaminated
-FROM documents d LEFT JOIN totals t ON t.doc_id = d.doc_id LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+FROM documents d LEFT JOIN totals t ON t.doc_id = d.doc_id LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN near ON near.doc_id = d.doc_id
 """
 
 _TERMS = [(label, sorted(set(t.split())), math.floor(len(t.split()) / 0.9 + 1e-9)) for label, t in licenses.TEMPLATES.items()]

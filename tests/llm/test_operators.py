@@ -87,6 +87,34 @@ def test_licenses_across_lines(spark):
     assert [(x.first, x.last) for x in got[1].blocks] == [(2, 15)] and [(x.first, x.last) for x in got[8].blocks] == [(0, 4)]
 
 
+def test_adjacent_license_blocks(spark):
+    texts = ["released under the mit license " * 20, "released under the mit license and released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files " * 3]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [len(got[i].blocks) for i in range(3)] == [20, 2, 3]
+    assert [(x.first, x.last) for x in got[0].blocks] == [(5 * i, 5 * i + 4) for i in range(20)]
+
+
+def test_substring_dedup_of_ids_with_several_texts(spark):
+    w, u = (" ".join(f"{c}{i}" for i in range(40)) for c in "wu")
+    texts = [(0, w), (1, "a b c " + w), (1, "x y z"), (1, w), (1, u), (None, w), (None, "n o"), (1, u)]
+    for kind, name in (("long", lambda i: i), ("string", lambda i: None if i is None else f"d{i}")):
+        rows = spark.createDataFrame([(name(i), t) for i, t in texts], f"doc_id {kind}, text string").repartition(3)
+        got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in repeats.dedup(rows).collect())
+        # of the texts of id 1, some copy of W other than the first loses all of it; U is there in one text only, twice
+        a, b = str(name(0)), str(name(1))
+        assert got == sorted([(a, 40, 0, w), (b, 43, 40, "a b c"), (b, 3, 0, "x y z"), (b, 40, 40, ""), (b, 40, 0, u), (b, 40, 0, u), ("None", 40, 40, ""), ("None", 2, 0, "n o")])
+
+
+def test_a_blob_is_scanned_once(spark, monkeypatch):
+    seen = []
+    scan = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs: (seen.append(blobs.count()), scan(blobs))[1])
+    text = "password = abcdefgh12"
+    rows = spark.range(300).selectExpr("if(id % 2 = 0, null, 7L) as doc_id", f"if(id % 3 = 0, '{text}', 'nothing') as text")
+    got = secrets.findings(rows).collect()
+    assert len(got) == 300 and seen == [2] and sum(len(r.findings) for r in got) == 100
+
+
 def brute_components(rows, k=5, percent=75):
     sets = {}
     for i, t, *_ in rows:
@@ -450,6 +478,14 @@ def test_classifier_sample_is_bounded_by_rows(spark, monkeypatch):
     assert held[0] <= 10
 
 
+def test_repeated_rows_take_one_place_of_the_sample(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(classifier, "train", lambda at, x, p, width: (held.append(len(at)), __import__("numpy").zeros(width))[1])
+    table = spark.range(200 * 50).selectExpr("id % 200 as doc_id", "concat('good words of a text. ', cast(id % 200 as string)) as text")
+    classifier.fit(table, sample=100)
+    assert held == [50]  # one side has all documents, and fills its half
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_classifier_held_out(spark):
     d = "/root/testdata/sf0.01"
