@@ -82,6 +82,15 @@ def contact_rows(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("`Company Domain Name`") != "") & ((F.col("`First Name`") != "") | (F.col("`Last Name`") != ""))).select(*(f"`{c}`" for c in CONTACT_COLUMNS))
 
 
+def own_domains(candidates: DataFrame, directories: DataFrame) -> DataFrame:
+    """(gid, domain) of candidates (gid, place, url): of a group's websites in order of place, the host of the first that has one and is no directory
+    (host); null if there is none. The agent's site comes first, then those of the lead company, then those of other members."""
+    hosts = candidates.select("gid", "place", T.website_host(F.col("url")).alias("host"))
+    fits = hosts.where("host IS NOT NULL").join(directories.select("host").distinct(), "host", "left_anti")
+    best = fits.groupBy("gid").agg(F.min_by("host", F.struct("place", "host")).alias("domain"))
+    return candidates.select("gid").distinct().join(best, "gid", "left")
+
+
 #: What is said of a broken rule, and what counts as a score or tier.
 TOO_LONG, TOO_MANY, NO_ITEM, TOO_FAMILIAR, SHOWN, UNNAMED = " words (limit {})", " characters (limit {})", " is no evidence item", "informal address: ", "a score or tier in the copy", " not named"
 SCORE_OR_TIER = r"(?i)\b(score|scoring|tier|rubri\w*)\b|\b\d+(?:[.,]\d+)?\s*/\s*10\b"

@@ -42,3 +42,23 @@ def tier_profile(leads: DataFrame, signals: list[str]) -> DataFrame:
     leads = handed_over(leads.select("tier", *signals, "headcount", "members"), "leads")
     middle = quantiles(leads, "headcount", {"mid": 0.5}, ["tier"]).select("tier", N.rounded(F.col("mid"), 2).alias("median_headcount"))
     return leads.groupBy("tier").agg(F.count("*").alias("groups"), *means, N.rounded(F.avg("members"), 2).alias("companies_per_group")).join(middle, "tier").select("tier", "groups", *signals, "median_headcount", "companies_per_group")
+
+
+def by_band(leads: DataFrame, band: Column, signals: list[str]) -> DataFrame:
+    """(band, groups, the mean of each signal, tier_a: share) of leads by band of headcount; leads without a band are left out, as are bands without leads."""
+    means = [N.rounded(F.avg(s), 2).alias(s) for s in signals]
+    share = N.rounded(F.avg((F.col("tier") == "A").cast("double")), 2).alias("tier_a")
+    return leads.withColumn("band", band).where("band IS NOT NULL").groupBy("band").agg(F.count("*").alias("groups"), *means, share)
+
+
+def main_area(table: DataFrame, axes: list[str], reach: float = 3.0) -> DataFrame:
+    """The table with on_map: on every axis within `reach` interquartile ranges of the median. Rows that lack a coordinate go."""
+    placed = handed_over(table.dropna(subset=axes), "placed")
+    found = placed
+    for a in axes:
+        found = found.join(F.broadcast(quantiles(placed, a, {f"_{a}1": 0.25, f"_{a}2": 0.5, f"_{a}3": 0.75})), F.lit(True))  # one row
+    near = lambda a: F.col(a).between(F.col(f"_{a}2") - reach * (F.col(f"_{a}3") - F.col(f"_{a}1")), F.col(f"_{a}2") + reach * (F.col(f"_{a}3") - F.col(f"_{a}1")))
+    inside = F.lit(True)
+    for a in axes:
+        inside &= near(a)
+    return found.withColumn("on_map", inside).select(*table.columns, "on_map")

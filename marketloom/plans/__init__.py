@@ -1,4 +1,4 @@
 """Queries over the driver's tables."""
 
-from . import checks, handoff, insight, market, scoring  # noqa: F401
+from . import checks, details, handoff, insight, market, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -30,6 +30,12 @@ def json_documents(spark: SparkSession, folder: str, schema: str, status: str |
     return found if status is None else found.where(F.col("status") == status)
 
 
+def json_rows(spark: SparkSession, folder: str, schema: str, status: str | None = None) -> DataFrame:
+    """Rows of a folder's JSON files of one document a line; only those of a status if one is given. Files are split over tasks."""
+    found = spark.read.schema(schema).json(folder, pathGlobFilter="*.json")
+    return found if status is None else found.where(F.col("status") == status)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A row for each line that isn't blank; none if the file isn't there."""
     try:
