@@ -50,19 +50,23 @@ class Spending(StatefulProcessor):
 
 def guard(lines: DataFrame, path: str, checkpoint: str, budget: float, cap: float = 0.9, caps: dict[str, float] | None = None) -> StreamingQuery:
     """A stream of ledger lines (run, key, at, tie, usd, replayed, window, share) to a table at `path`: for each batch, what the runs it touched have
-    come to (run, calls, usd, shares by window, stop: the reason to end the run, or null). `at_most_once`: a key is paid for once, however late it comes
+    come to (run, calls, usd, shares by window, stop: the reason to end the run, or null). A key is paid for once, however late it comes
     again; the last share of a window is the one latest by (at, tie), in whatever order lines arrive. A stream that was ended goes on from its state.
 
     State is kept by RocksDB under the checkpoint: a run's keys and windows, never its lines. Runs are dealt over tasks; one run is one key."""
-    spark = lines.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    spark, setting = lines.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     seen = lines.groupBy("run").transformWithStateInPandas(Spending(budget, cap, dict(caps or {})), OUT, "Update", "None")
 
     def add(batch: DataFrame, n: int) -> None:
         # a batch that is repeated after a failure replaces what it wrote
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    return seen.writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, PROVIDER)  # the query keeps what is set when it starts
+    try:
+        return seen.writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
 
 
 def latest(table: DataFrame) -> DataFrame:
