@@ -518,8 +518,8 @@ def _chunked(groups: DataFrame) -> DataFrame:
     return salted_join(groups, size, "head", "b").select("head", "b", "chunks", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
 
 
-def _links(groups: DataFrame, texts: DataFrame, first_of: DataFrame, k: int, percent: int, levels, full: bool) -> DataFrame:
-    """Links in the chunks of groups (head, b, chunk, chunks), by trees of their sets. Of the texts only those of the groups' classes are
+def _links(groups: DataFrame, texts: DataFrame, first_of: DataFrame, k: int, percent: int, levels, full: bool, name: str) -> DataFrame:
+    """Stored links in the chunks of groups (head, b, chunk, chunks), by trees of their sets. Of the texts only those of the groups' classes are
     shuffled; a set is made from its text in the task that sends it to its chunks, the head's to all of them."""
     heads = groups.groupBy("head").agg(F.max("chunks").alias("chunks")).select(F.col("head").alias("sig"), "head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     places = groups.select(F.col("b").alias("sig"), "head", "chunk").unionByName(heads)
@@ -529,7 +529,10 @@ def _links(groups: DataFrame, texts: DataFrame, first_of: DataFrame, k: int, per
     few = texts.mapInArrow(_some(bits), "id long, text string, tid long").join(chosen.hint("merge"), ["id", "tid"])
     sets = few.select("sig", "text", "to").mapInArrow(_sets(k, levels), "sig long, path binary, to array<struct<head:bigint,chunk:int>>")
     rows = sets.select("sig", "path", F.explode("to").alias("at")).select("at.head", "at.chunk", "sig", "path")
-    return rows.repartition("head", "chunk").sortWithinPartitions("head", "chunk", "path", "sig").mapInArrow(_walk(percent, full), "a long, b long")
+    links = materialize(rows.repartition("head", "chunk").sortWithinPartitions("head", "chunk", "path", "sig").mapInArrow(_walk(percent, full), "a long, b long"), name)
+    discard(chosen)
+    bits.destroy()
+    return links
 
 
 def _spread(members: DataFrame) -> DataFrame:
@@ -561,17 +564,19 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     heads = votes.where(2 * F.col("shared") >= least).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("head"), F.max("n_b").alias("n_b"))
     groups = materialize(_chunked(heads), "blocks")
     members = runs.where("kind = 1").select("a", "n_a", "part", "low", "slice", "slices", "prev")
-    links = materialize(_links(groups, texts, first_of, k, percent, levels, True), "links")
+    links = _links(groups, texts, first_of, k, percent, levels, True, "links")
     labels = components(links, "a", "b")
     told = groups.select(F.col("b").alias("a"), "head", "chunk").join(labels.select(F.col("node").alias("a"), "component"), "a", "full")
     now = members.join(told, "a", "left").withColumn("label", F.coalesce("component", "a")).withColumn("head", F.coalesce("head", "a")).withColumn("chunk", F.coalesce("chunk", F.lit(0))).drop("component")
     met = _spread(now).repartition(parts, "part", "low", "slice").mapInArrow(_meetings(percent), RUNS)
     pairs = materialize(met.groupBy("a", "b").agg(F.max("n_b").alias("n_b")).withColumnRenamed("a", "head"), "pairs")
     if not pairs.isEmpty():
-        more = materialize(_links(materialize(_chunked(pairs), "rest"), texts, first_of, k, percent, levels, False), "more")
+        more = _links(materialize(_chunked(pairs), "rest"), texts, first_of, k, percent, levels, False, "more")
         if not more.isEmpty():
-            labels = components(links.unionAll(more), "a", "b")
-    discard(runs, groups, pairs)
+            # what the blocks have joined stands: only its labels and the new links are joined
+            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
+    levels.destroy()
+    discard(runs, groups, pairs, links)
     # most classes have no link and are told without a join by component
     named = first_of.join(labels.withColumnRenamed("node", "sig"), "sig").select("sig", "component", F.struct("id", "tid").alias("own"))
     least = named.groupBy("component").agg(F.min("own").alias("least"))

@@ -494,10 +494,25 @@ def test_classifier_held_out(spark):
     assert scored.selectExpr("avg(cast(kept = (quality = 1) as int))").first()[0] > 0.93
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70), (200, 200)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
-    assert got == {i: 0 for i in range(31)} | {50: 50, 70: 50, 100: 50}
+def test_components(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70), (200, 200), (7, None), (None, None), (100, 50)]
+    wanted = {i: 0 for i in range(31)} | {50: 50, 70: 50, 100: 50}
+    for kind in ("long", "string"):
+        table = spark.createDataFrame(edges, "a long, b long").repartition(4).selectExpr(f"cast(a as {kind}) as a", f"cast(b as {kind}) as b")
+        for small in (0, components.SMALL):  # by rounds, and by one task
+            rows = components.components(table, "a", "b", small).collect()
+            got = {int(r.node): int(r.component) for r in rows}
+            assert len(rows) == len(got) and got == (wanted if kind == "long" else {i: 0 for i in range(31)} | {50: 100, 70: 100, 100: 100})
+    assert components.components(table.limit(0), "a", "b").count() == 0
+
+
+def test_forest_sends_what_it_holds(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(components, "HELD", 3)
+    batches = [pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}) for a, b in (([5, 9], [4, 8]), ([4, 1], [1, 0]), ([8], [0]))]
+    sent = [(a, b) for x in components._forest(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+    assert sent == [(5, 4), (9, 8), (4, 0), (1, 0), (8, 0)]
 
 
 def test_empty_and_null_ids(spark):
