@@ -9,6 +9,9 @@ from ..functions import text as T
 from ..stage import handed_over
 
 GRAM = 3
+#: Spans of days: 1, 2, 4 and so on, each beginning at a multiple of its length.
+LEVELS = 12
+SPAN, SEARCH = ["part", "level", "at"], ["part", "first", "last"]
 
 
 def grams(name: Column) -> Column:
@@ -21,36 +24,81 @@ def month(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day) - 1
 
 
+def _months(first: Column, last: Column) -> Column:
+    return F.explode(F.sequence(month(first), month(last))).alias("month")
+
+
+def spans_of(day: Column) -> Column:
+    """The spans that a day lies in, one of each level."""
+    return F.array(*(F.struct(F.lit(i).alias("level"), F.shiftright(F.unix_date(day), i).alias("at")) for i in range(LEVELS)))
+
+
+def covering(first: Column, last: Column) -> Column:
+    """Spans that together are the days from first to last, each day once: at most two of a level, and what is needed of the longest."""
+    low, end = F.unix_date(first), F.unix_date(last) + 1
+    at = [(F.shiftright(low + ((1 << i) - 1), i), F.shiftright(end, i)) for i in range(LEVELS)]
+
+    def of_level(i: int) -> Column:
+        (a, b), whole = at[i], F.sequence(at[i][0], at[i][1] - 1)
+        if i + 1 < LEVELS:
+            c, d = at[i + 1]
+            ends = F.array_compact(F.array(F.when(a < c * 2, a), F.when(b > d * 2, b - 1)))
+            whole = F.when(c < d, ends).otherwise(whole)
+        return F.transform(F.when(a < b, whole).otherwise(F.array().cast("array<int>")), lambda n: F.struct(F.lit(i).alias("level"), n.alias("at")))
+
+    return F.concat(*map(of_level, range(LEVELS)))
+
+
 def search(persons: DataFrame, wanted: DataFrame, cap: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(hits, stats). persons: (id, name, born); wanted: (query, name, first, last: days between which the birth lies). A hit is a
     person whose name, without case and accents, holds the wanted one, and who was born within the range: (query, id, same: the names are equal). stats: (query,
-    candidates, hits, same, truncated: more hits than `cap`, of which the first by id are kept).
+    candidates, hits, same, truncated: more hits than `cap`, of which the first by id are kept), a row for each of wanted.
 
-    Each wanted name is looked up by the rarest of its trigrams, together with each month of its range, so that a trigram that is in very many names is split by
+    Each wanted name is looked up by the rarest of its trigrams, together with each month of its ranges, so that a trigram that is in very many names is split by
     month of birth, and is chosen only where a name has none rarer. Names shorter than a trigram are compared with the trigrams they begin. Persons
-    and wanted ones without a name or date have no hit. Trigrams are counted where names lie, before anything is sent."""
+    and wanted ones without a name or date have no hit. Trigrams are counted where names lie, before anything is sent.
+
+    A wanted name meets a person once, however many ask for it. For each name and span of days it is told how many persons fit and which are the first
+    `cap` of them; a search adds up the few spans that its range consists of, and its hits are never listed beyond `cap`. A person
+    whose rows differ in what they tell is compared with each search of the name."""
     people = handed_over(persons.select("id", T.normalize(F.col("name")).alias("name"), month(F.col("born")).alias("month"), "born").where("name <> '' AND month IS NOT NULL"), "persons")
     asked = handed_over(wanted.select("query", T.normalize(F.col("name")).alias("part"), "first", "last"), "asked")
-    ready = asked.where("part <> '' AND first <= last")
+    searches = asked.where("part <> '' AND first <= last").select(*SEARCH).distinct()
     index = people.select("id", "name", "month", "born", F.explode(grams(F.col("name"))).alias("gram"))
-    sought = ready.select("query", F.explode(grams(F.col("part"))).alias("gram"))
+    sought = searches.select("part").distinct().select("part", F.explode(grams(F.col("part"))).alias("gram"))
     # trigrams that hold a short name's letters stand for it
     grams_wanted = sought.select("gram").distinct()
     full = F.length("gram") == GRAM
     counts = index.groupBy("gram").agg(F.count("*").alias("n"))
     exact = grams_wanted.where(full).join(counts, "gram", "left").select("gram", F.col("gram").alias("found"), F.coalesce("n", F.lit(0)).alias("n"))
     short = grams_wanted.where(~full).join(counts.withColumnRenamed("gram", "found"), F.col("found").contains(F.col("gram"))).select("gram", "found", "n")
-    by_query = Window.partitionBy("query").orderBy("n", "gram")
-    rarest = sought.where(full).join(exact, "gram").withColumn("o", F.row_number().over(by_query)).where("o = 1").select("query", "found")
-    every = rarest.union(sought.where(~full).join(short, "gram").select("query", "found"))
-    months = F.explode(F.sequence(month(F.col("first")), month(F.col("last")))).alias("month")
-    lookups = ready.select("query", "part", "first", "last", months).join(every, "query").withColumnRenamed("found", "gram")
+    by_part = Window.partitionBy("part").orderBy("n", "gram")
+    rarest = sought.where(full).join(exact, "gram").withColumn("o", F.row_number().over(by_part)).where("o = 1").select("part", "found")
+    every = rarest.union(sought.where(~full).join(short, "gram").select("part", "found"))
+    lookups = searches.select("part", _months(F.col("first"), F.col("last"))).distinct().join(every, "part").withColumnRenamed("found", "gram")
     met = lookups.join(index, ["gram", "month"])
-    fits = F.col("name").contains(F.col("part")) & F.col("born").between(F.col("first"), F.col("last"))
-    judged = met.groupBy("query", "id").agg(F.max(fits).alias("fits"), F.max(F.col("name") == F.col("part")).alias("same"))
-    held = handed_over(judged, "hits")
-    stats = held.groupBy("query").agg(F.count("*").alias("candidates"), F.count_if("fits").alias("hits"), F.count_if(F.col("fits") & F.col("same")).alias("same"))
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "hits", "same")]
-    told = asked.select("query").join(stats, "query", "left").select("query", *zero, (F.coalesce("hits", F.lit(0)) > cap).alias("truncated"))
-    first = F.row_number().over(Window.partitionBy("query").orderBy("id"))
-    return held.where("fits").withColumn("o", first).where(F.col("o") <= cap).select("query", "id", "same"), told
+    told = F.struct("born", F.col("name").contains(F.col("part")).alias("fits"), (F.col("name") == F.col("part")).alias("same"))
+    held = handed_over(met.groupBy("part", "id").agg(F.collect_set(told).alias("rows")), "met")
+    alone = held.where(F.size("rows") == 1).select("part", "id", F.col("rows")[0].alias("r")).select("part", "id", "r.*")
+    several = held.where(F.size("rows") > 1).select("part", "id", F.explode("rows").alias("r")).select("part", "id", "r.*").join(searches, "part")
+    inside = F.col("fits") & F.col("born").between(F.col("first"), F.col("last"))
+    near = month(F.col("born")).between(month(F.col("first")), month(F.col("last")))
+    several = several.groupBy(*SEARCH, "id").agg(F.max(near).alias("near"), F.max(inside).alias("fits"), F.max(inside & F.col("same")).alias("same")).where("near")
+
+    placed = alone.where("fits").select("part", "id", "same", F.explode(spans_of(F.col("born"))).alias("s")).select("part", "id", "same", "s.*")
+    cover = searches.select(*SEARCH, F.explode(covering(F.col("first"), F.col("last"))).alias("s")).select(*SEARCH, "s.*")
+    zero = F.lit(0).cast("long")
+    sums = cover.join(placed.groupBy(*SPAN).agg(F.count("*").alias("hits"), F.count_if("same").alias("same")), SPAN).select(*SEARCH, zero.alias("candidates"), "hits", "same")
+    by_month = alone.groupBy("part", month(F.col("born")).alias("month")).agg(F.count("*").alias("candidates"))
+    looked_at = searches.select(*SEARCH, _months(F.col("first"), F.col("last"))).join(by_month, ["part", "month"]).select(*SEARCH, "candidates", zero.alias("hits"), zero.alias("same"))
+    others = several.select(*SEARCH, F.lit(1).cast("long").alias("candidates"), F.col("fits").cast("long").alias("hits"), F.col("same").cast("long").alias("same"))
+    stats = sums.unionAll(looked_at).unionAll(others).groupBy(*SEARCH).agg(*(F.sum(c).alias(c) for c in ("candidates", "hits", "same")))
+    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "hits", "same")]
+    stats = asked.join(stats, SEARCH, "left").select("query", *filled, (F.coalesce("hits", F.lit(0)) > cap).alias("truncated"))
+
+    order = F.row_number().over(Window.partitionBy(*SPAN).orderBy("id"))
+    first = placed.withColumn("o", order).where(F.col("o") <= cap).groupBy(*SPAN).agg(F.collect_list(F.struct("id", "same")).alias("some"))
+    listed = cover.join(first, SPAN).select(*SEARCH, "some").unionAll(several.where("fits").select(*SEARCH, F.array(F.struct("id", "same")).alias("some")))
+    kept = listed.groupBy(*SEARCH).agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, cap).alias("some"))
+    hits = asked.distinct().join(kept, SEARCH).select("query", F.explode("some").alias("h")).select("query", "h.*")
+    return hits, stats

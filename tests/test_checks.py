@@ -1,5 +1,6 @@
 """Validation, canonical JSON, indexed scans, person search, the funnel and the guard as a stream."""
 
+import datetime
 import json
 import random
 import struct
@@ -85,6 +86,31 @@ def test_person_search(spark):
     assert [r.id for r in hits.orderBy("id").collect()] == [1, 2] and stats.first().truncated
 
 
+def people_and_searches(spark):
+    """Persons of few names, some of them with several rows, and searches that share names; hits and stats by hand."""
+    r, start = random.Random(4), datetime.date(1962, 3, 1)
+    day = lambda: start + datetime.timedelta(r.randrange(9000))
+    people = [(i, r.choice(["ANNE MARTIN", "MARTIN", "MARTINEAU", "LI"]), day()) for i in range(300)]
+    people += [(i, r.choice(["MARTIN", "LI", "ZOE"]), day()) for i in range(40)] + people[:5]
+    wanted = [(q, r.choice(["martin", "LI", "Anne", "zoe", "zz"]), *sorted((day(), day()))) for q in range(200)] + [(900, "martin", start, datetime.date(2100, 1, 1)), (901, "li", start, start)]
+    tables = spark.createDataFrame(people, "id int, name string, born date").repartition(3), spark.createDataFrame(wanted, "query int, name string, first date, last date")
+    found = {}
+    for q, name, first, last in wanted:
+        rows = [(i, n == name.upper()) for i, n, d in people if name.upper() in n and first <= d <= last]
+        found[q] = {i: any(same for j, same in rows if j == i) for i, _ in rows}
+    return *tables, found
+
+
+def test_searches_list_no_more_than_cap(spark):
+    """Many searches of names that many persons have: nothing is stored that grows with both."""
+    people, wanted, found = people_and_searches(spark)
+    before = len(stage._STORED)
+    hits, _ = person.search(people, wanted, cap=7)
+    assert {tuple(x) for x in hits.collect()} == {(q, i, ids[i]) for q, ids in found.items() for i in sorted(ids)[:7]}
+    # 5 names meet 300 persons; searches and persons that fit are over 5,000 pairs
+    assert sum(map(len, found.values())) > 5_000 and all(spark.read.parquet(p).count() <= 1000 for p in stage._STORED[before:])
+
+
 def test_funnel_counts_in_one_job(spark):
     f = funnel.Funnel()
     rows = f.stage(spark.range(100), "rows")
