@@ -111,6 +111,22 @@ def test_searches_list_no_more_than_cap(spark):
     assert sum(map(len, found.values())) > 5_000 and all(spark.read.parquet(p).count() <= 1000 for p in stage._STORED[before:])
 
 
+def test_searches_are_counted_by_spans(spark):
+    people, wanted, found = people_and_searches(spark)
+    before = len(stage._STORED)
+    _, stats = person.search(people, wanted, cap=7)
+    got = {x["query"]: (x.hits, x.same, x.truncated) for x in stats.collect()}
+    assert got == {q: (len(ids), sum(ids.values()), len(ids) > 7) for q, ids in found.items()}
+    assert all(x.candidates >= x.hits for x in stats.collect())
+    assert all(spark.read.parquet(p).count() <= 1000 for p in stage._STORED[before:])
+    # each day of a range once, in few spans
+    for first, last in (("1969-12-30", "1970-01-02"), ("1950-01-07", "2049-05-05"), ("1960-02-29", "1960-02-29")):
+        days = spark.sql(f"SELECT DATE'{first}' AS a, DATE'{last}' AS b").select(F.explode(person.covering(F.col("a"), F.col("b"))).alias("s")).select("s.*").collect()
+        all_ = sorted(d for x in days for d in range(x["at"] << x.level, (x["at"] + 1) << x.level))
+        low, high = ((datetime.date.fromisoformat(d) - datetime.date(1970, 1, 1)).days for d in (first, last))
+        assert all_ == list(range(low, high + 1)) and len(days) <= 2 * person.LEVELS + (high - low) // 2048
+
+
 def test_funnel_counts_in_one_job(spark):
     f = funnel.Funnel()
     rows = f.stage(spark.range(100), "rows")
