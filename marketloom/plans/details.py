@@ -123,7 +123,7 @@ def _(v):
 @q("q_formats", "SELECT id, format('{:.0f}%', round_even(bal/100,0)) AS share, format('{:,}', id*1234567) AS many, format('{:g}', bal*(CASE WHEN id%2=0 THEN 1 ELSE 0.00001 END)) AS short FROM co", "co")
 def _(v):
     x = F.col("bal") * F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.00001)
-    return v.co.select("id", T.percent(F.col("bal") / 10000).alias("share"), T.thousands(F.col("id") * 1234567).alias("many"), T.general(x).alias("short"))
+    return v.co.select("id", T.whole_percent(F.col("bal") / 100).alias("share"), T.thousands(F.col("id") * 1234567).alias("many"), T.general(x).alias("short"))
 
 
 # runs in order, and frames whose columns differ

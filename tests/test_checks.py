@@ -61,6 +61,15 @@ def test_display_names(spark, raw, shown):
     assert spark.createDataFrame([(raw,)], "n string").select(text.display_name(F.col("n"))).first()[0] == shown
 
 
+def test_formats(spark):
+    """Halves by the number's binary value: 10000.05 is less than that, and 54.5 is a half although 0.545 * 100 is more."""
+    xs = [10000.05, 10000.15, 0.1000005, 5450.0, 5750.0, 50.0, -1.0, 0.0, 1e-5, 123456.5, 1234567.0, -2.5e-7, 1e15, None]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", text.general(F.col("x")).alias("g"), text.whole_percent(F.col("x") / 100).alias("w"), text.percent(F.col("x")).alias("p")).collect()
+    assert [r.g for r in got] == [None if x is None else f"{x:g}" for x in xs]
+    assert [r.w for r in got] == [None if x is None else f"{x / 100:.0f}%" for x in xs]
+    assert [r.p for r in got] == [None if x is None else f"{x:.0%}" for x in xs]
+
+
 def test_indexed_scan_opens_matching_files_only(spark, tmp_path):
     table = spark.range(6000).select(F.col("id"), F.concat(F.lit("d"), F.col("id") % 12).alias("domain"), (F.col("id") % 7).cast("int").alias("dep"))
     table = table.withColumn("domain", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.col("domain")))
