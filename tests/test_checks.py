@@ -30,6 +30,21 @@ def test_problems_by_path(spark):
     assert {r.d: r.p for r in rows} == cases
 
 
+def test_each_value_is_taken_out_once(spark):
+    """However deep a value lies, its expression names each value above it once."""
+    spec = V.Field("array", items=V.Field("number", low=0))
+    for _ in range(5):
+        spec = V.Field("object", {"a": spec, "b": V.Field("string")})
+    taken = str(V.judged(F.col("d"), spec))
+    assert taken.count("try_parse_json") == 1 and taken.count("try_variant_get") == 7
+    inner = '{"a":{"a":{"a":{"a":[1,-1,"x",null]}}}}'
+    rows = spark.createDataFrame([(inner,), ('{"a":[],"b":{}}',), ('{"a":{"a":"s","b":""},"b":"","c":1}',)], "d string").select(V.judged(F.col("d"), spec).alias("p")).collect()
+    deep = "a.a.a.a"
+    assert [r.p for r in rows] == [["a.a.a.a: no object", "a.a.a.b: missing", "a.a.b: missing", "a.b: missing", "b: missing"], ["a: no object", "b: no string"], ["a.a: no object", "c: extra"]]
+    full = spark.createDataFrame([(inner.replace('"a":[', '"b":"","a":{"a":[').replace("]", "]}"),)], "d string").select(V.judged(F.col("d"), spec)[0].alias("p"), F.size(V.judged(F.col("d"), spec)).alias("n")).first()
+    assert (full.p, full.n) == (f"{deep}.a.1: out of range", 7)
+
+
 def test_numbers_as_json(spark):
     r = random.Random(1)
     xs = [0.0, -0.0, 1.0, 1e16, 1e15, 123456789012345680.0, 1e22, 1e-4, 1e-5, 0.1, 2 / 3, 1e300, -1.5, 2.5e-7, 9007199254740993.0, 1.7976931348623157e308, 100.0, float("inf"), float("nan")]
