@@ -14,7 +14,7 @@ from ..sources import indexed
 from ..stage import new_path
 from .market import flagged
 from .registry import q
-from .scoring import R, scored, usd
+from .scoring import scored, usd
 from .testbed import TODAY
 
 # answers
@@ -153,4 +153,4 @@ def _(v):
     cost = F.round(usd(), 12)
     lines = v.lg.select(F.col("lead").alias("run"), "key", F.col("called").cast("timestamp").alias("at"), F.col("event_id").alias("tie"), cost.alias("usd"), (F.length("key") % 4 == 0).alias("replayed"), F.col("purpose").alias("window"), (F.col("value") / 100.0).alias("share"))
     found = guard.watched(lines, 0.12, 0.7, {"click": 0.9})
-    return found.select("run", "calls", R(F.col("usd"), 3).alias("usd"), "stop")
+    return found.select("run", "calls", F.bround(F.col("usd").cast("decimal(38,9)"), 3).cast("double").alias("usd"), "stop")  # halves are halves in whatever order calls were added

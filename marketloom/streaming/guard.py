@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -13,36 +12,35 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..stage import new_path
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FIRST = -(1 << 63)  # a share without a time comes before any with one
+STATE = "calls long, usd double, used map<string,struct<at:long,tie:long,share:double>>"
 OUT = "run string, calls long, usd double, shares map<string,double>, stop string"
 
 
 class Spending(StatefulProcessor):
-    """Per run: keys that were paid for, calls and cost so far, and the last share of each window."""
+    """Per run: calls and cost so far, and the last share of each window. Rows are calls that were not paid for before (usd) and shares (window)."""
 
     def __init__(self, budget: float, cap: float, caps: dict[str, float]):
         self.budget, self.cap, self.caps = budget, cap, caps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.spent = handle.getValueState("spent", "calls long, usd double")
-        self.paid = handle.getMapState("paid", "key string", "at timestamp")
-        self.used = handle.getMapState("used", "window string", "at timestamp, tie long, share double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        calls, usd = self.spent.get() if self.spent.exists() else (0, 0.0)
-        for some in rows:
-            for r in some.itertuples(index=False):
-                if not self.paid.containsKey((r.key,)):
-                    self.paid.updateValue((r.key,), (r.at,))
-                    calls, usd = calls + 1, usd + (0.0 if r.replayed else float(r.usd))
-                if r.window is not None and r.share == r.share:
-                    old = self.used.getValue((r.window,)) if self.used.containsKey((r.window,)) else None
-                    if old is None or (pd.Timestamp(old[0]), old[1]) < (r.at, r.tie):
-                        self.used.updateValue((r.window,), (r.at, int(r.tie), float(r.share)))
-        self.spent.update((calls, usd))
-        shares = {k[0]: v[2] for k, v in self.used.iterator()}
+        self.state = handle.getValueState("spending", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        calls, usd, used = 0, 0.0, {}
+        if self.state.exists():
+            calls, usd, before = self.state.get()
+            used = {w: tuple(last) for w, last in before.items()}
+        for _, cost, window, at, tie, share in rows:
+            if cost is not None:
+                calls, usd = calls + 1, usd + cost
+            elif window not in used or used[window][:2] < (at, tie):
+                used[window] = (at, tie, share)
+        self.state.update((calls, usd, used))
+        shares = {w: last[2] for w, last in used.items()}
         over = sorted(w for w, x in shares.items() if x >= self.caps.get(w, self.cap))
         stop = "budget" if usd >= self.budget else f"window {over[0]}" if over else None
-        yield pd.DataFrame({"run": [key[0]], "calls": [calls], "usd": [usd], "shares": [shares], "stop": [stop]})
+        yield Row(run=key[0], calls=calls, usd=usd, shares=shares, stop=stop)
 
     def close(self) -> None:
         pass
@@ -53,9 +51,13 @@ def guard(lines: DataFrame, path: str, checkpoint: str, budget: float, cap: floa
     come to (run, calls, usd, shares by window, stop: the reason to end the run, or null). A key is paid for once, however late it comes
     again; the last share of a window is the one latest by (at, tie), in whatever order lines arrive. A stream that was ended goes on from its state.
 
-    State is kept by RocksDB under the checkpoint: a run's keys and windows, never its lines. Runs are dealt over tasks; one run is one key."""
+    State is kept by RocksDB under the checkpoint: a run's keys and windows, never its lines. Keys are dealt over tasks and met in the JVM, each run's
+    calls and shares then are in one task, whose worker asks for its state once a run and batch, however many lines it has."""
     spark, setting = lines.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    seen = lines.groupBy("run").transformWithStateInPandas(Spending(budget, cap, dict(caps or {})), OUT, "Update", "None")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("window", "string"), ("at", "long"), ("tie", "long"), ("share", "double"))]
+    paid = lines.select("run", "key", F.when(F.col("replayed"), 0.0).otherwise(F.coalesce("usd", F.lit(0.0))).alias("usd")).dropDuplicates(["run", "key"]).select("run", "usd", *none)
+    shown = lines.where("window IS NOT NULL AND share IS NOT NULL AND NOT isnan(share)").select("run", F.lit(None).cast("double").alias("usd"), "window", F.coalesce(F.unix_micros("at"), F.lit(FIRST)).alias("at"), F.coalesce("tie", F.lit(FIRST)).alias("tie"), "share")
+    seen = paid.unionAll(shown).groupBy("run").transformWithState(Spending(budget, cap, dict(caps or {})), OUT, "Update", "None")
 
     def add(batch: DataFrame, n: int) -> None:
         # a batch that is repeated after a failure replaces what it wrote
@@ -76,8 +78,9 @@ def latest(table: DataFrame) -> DataFrame:
 
 
 def watched(lines: DataFrame, budget: float, cap: float = 0.9, caps: dict[str, float] | None = None, files: int = 4) -> DataFrame:
-    """The end of a run of the guard over stored lines, which are streamed in several batches."""
+    """The end of a run of the guard over stored lines, which are streamed in several batches: of `files` files at least, or as many as there are cores."""
     spark = lines.sparkSession
+    files = max(files, spark.sparkContext.defaultParallelism)
     source, path, checkpoint = (new_path(spark, f"guard-{x}") for x in ("lines", "totals", "checkpoint"))
     lines.repartition(files).write.parquet(source)
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(source)

@@ -181,6 +181,36 @@ def test_guard_keeps_its_state(spark, tmp_path):
     assert last == {"a": (4, 1.0, "budget"), "b": (2, 0.75, "window 5h")}
 
 
+def test_guard_asks_for_state_once_a_run():
+    """A run of many lines reads and writes its state once; keys are not looked up from the worker."""
+    asked = []
+
+    class Value:
+        def exists(self):
+            asked.append("exists")
+            return "update" in asked
+
+        def get(self):
+            asked.append("get")
+            return self.now
+
+        def update(self, new):
+            asked.append("update")
+            self.now = new
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+    s = guard.Spending(400.0, 0.9, {})
+    s.init(Handle())
+    first = [(None, 0.25, None, None, None, None)] * 1000 + [(None, None, "5h", t, 1, t / 1000) for t in range(950)]
+    assert [tuple(r) for r in s.handleInputRows(("a",), iter(first), None)] == [("a", 1000, 250.0, {"5h": 0.949}, "window 5h")]
+    later = [(None, None, "5h", 10, 1, 0.1), (None, None, "week", 1, 1, 0.5), (None, 200.0, None, None, None, None)]
+    assert [tuple(r) for r in s.handleInputRows(("a",), iter(later), None)] == [("a", 1001, 450.0, {"5h": 0.949, "week": 0.5}, "budget")]
+    assert asked == ["exists", "update", "exists", "get", "update"]
+
+
 def test_stage_tables_are_removed(spark):
     import os
 
