@@ -29,6 +29,12 @@ def _automaton(key: str, terms: bytes):
     return _BUILT[key]
 
 
+def counted(texts: pa.Array, automaton) -> pa.Array:
+    """How many distinct terms each text holds. One text at a time is a Python string, whatever the batch holds."""
+    held = (len({i for _, i in automaton.iter(t.as_py())}) if len(automaton) else 0 for t in texts)
+    return pa.array(held, pa.int32(), size=len(texts))
+
+
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
@@ -59,10 +65,8 @@ def scan(texts: DataFrame, text: Column, terms: DataFrame, term: Column, keep: l
         def run(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(key, held.value)
             for batch in batches:
-                texts_ = batch.column(len(names)).to_pylist()
-                n = [len({i for _, i in automaton.iter(t)}) if len(automaton) else 0 for t in texts_]
-                hit = pa.array([x > 0 for x in n])
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n, pa.int32())], [*names, "n_terms"]).filter(hit)
+                n = counted(batch.column(len(names)), automaton)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], n], [*names, "n_terms"]).filter(pa.array([x.as_py() > 0 for x in n], pa.bool_()))
 
         found.append(rows.mapInArrow(run, schema))
     if not found:

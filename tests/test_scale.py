@@ -89,3 +89,24 @@ def test_term_scan(spark, most):
     got = {(x.id, x.n_terms) for x in terms.scan(table, F.col("text"), spark.createDataFrame([(t,) for t in wanted], "t string"), F.col("t"), ["id"], most).collect()}
     assert got == {(i, n) for i, t in texts if t and (n := sum(w in t for w in set(filter(None, wanted))))}
     assert terms.scan(table, F.col("text"), spark.createDataFrame([], "t string"), F.col("t"), ["id"]).count() == 0
+
+
+def test_term_scan_holds_one_text_at_a_time():
+    """A batch's texts aren't all Python strings at once."""
+    import tracemalloc
+
+    import ahocorasick
+    import pyarrow as pa
+
+    found = ahocorasick.Automaton()
+    for i, t in enumerate(("abc", "bcd", "zz")):
+        found.add_word(t, i)
+    found.make_automaton()
+    batch = pa.array(["abcd" * 50_000, "none", "zz abc"] * 100)
+    tracemalloc.start()
+    try:
+        got = terms.counted(batch, found)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.to_pylist() == [2, 0, 2] * 100 and peak < 2_000_000  # the texts are 20 MB
