@@ -11,6 +11,8 @@ from ..stage import handed_over
 GRAM = 3
 #: Spans of days: 1, 2, 4 and so on, each beginning at a multiple of its length.
 LEVELS = 12
+#: Names by months that every task may hold; trigrams are told by so many buckets before they are sent.
+LOOKUPS, BUCKETS = 1 << 17, 1 << 16
 SPAN, SEARCH = ["part", "level", "at"], ["part", "first", "last"]
 
 
@@ -20,6 +22,16 @@ def grams(name: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(name, i, F.lit(GRAM))))
 
 
+def _bucket(gram: Column) -> Column:
+    return F.pmod(F.hash(gram), F.lit(BUCKETS))
+
+
+def _shows(name: Column, part: Column, gram: Column) -> Column:
+    """Of the trigrams of a name that hold a short part, whether this is the one by which the name is met: where the part first begins."""
+    at = F.least(F.instr(name, part), F.greatest(F.length(name) - GRAM + 1, F.lit(1)))
+    return (F.length(part) >= GRAM) | (gram == F.substring(name, at, F.lit(GRAM)))
+
+
 def month(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day) - 1
 
@@ -57,14 +69,18 @@ def search(persons: DataFrame, wanted: DataFrame, cap: int = 10_000) -> tuple[Da
     Each wanted name is looked up by the rarest of its trigrams, together with each month of its ranges, so that a trigram that is in very many names is split by
     month of birth, and is chosen only where a name has none rarer. Names shorter than a trigram are compared with the trigrams they begin. Persons
     and wanted ones without a name or date have no hit. Trigrams are counted where names lie, before anything is sent.
-
-    A wanted name meets a person once, however many ask for it. For each name and span of days it is told how many persons fit and which are the first
-    `cap` of them; a search adds up the few spans that its range consists of, and its hits are never listed beyond `cap`. A person
-    whose rows differ in what they tell is compared with each search of the name."""
-    people = handed_over(persons.select("id", T.normalize(F.col("name")).alias("name"), month(F.col("born")).alias("month"), "born").where("name <> '' AND month IS NOT NULL"), "persons")
+    Up to LOOKUPS names by months go to where the persons are, and no trigram of a person is sent. Beyond that, a person is sent by trigrams that are
+    looked up, and by few others (those of the same buckets).
+
+    A wanted name meets a row once, however many ask for it and however often the row holds it; what has met is grouped by person only for persons of
+    several rows. For each name and span of days it is told how many persons fit and which are the first `cap` of them; a search adds up the
+    few spans that its range consists of, and its hits are never listed beyond `cap`. A person whose rows differ in what they tell is compared
+    with each search of the name."""
+    people = persons.select("id", T.normalize(F.col("name")).alias("name"), "born").where(F.col("name") != "").where(month(F.col("born")).isNotNull()).repartition("id").distinct()
+    people = handed_over(people.withColumn("only", F.count("*").over(Window.partitionBy("id")) == 1), "persons")
     asked = handed_over(wanted.select("query", T.normalize(F.col("name")).alias("part"), "first", "last"), "asked")
     searches = asked.where("part <> '' AND first <= last").select(*SEARCH).distinct()
-    index = people.select("id", "name", "month", "born", F.explode(grams(F.col("name"))).alias("gram"))
+    index = people.select("*", month(F.col("born")).alias("month"), F.explode(grams(F.col("name"))).alias("gram"))
     sought = searches.select("part").distinct().select("part", F.explode(grams(F.col("part"))).alias("gram"))
     # trigrams that hold a short name's letters stand for it
     grams_wanted = sought.select("gram").distinct()
@@ -75,27 +91,39 @@ def search(persons: DataFrame, wanted: DataFrame, cap: int = 10_000) -> tuple[Da
     by_part = Window.partitionBy("part").orderBy("n", "gram")
     rarest = sought.where(full).join(exact, "gram").withColumn("o", F.row_number().over(by_part)).where("o = 1").select("part", "found")
     every = rarest.union(sought.where(~full).join(short, "gram").select("part", "found"))
-    lookups = searches.select("part", _months(F.col("first"), F.col("last"))).distinct().join(every, "part").withColumnRenamed("found", "gram")
-    met = lookups.join(index, ["gram", "month"])
-    told = F.struct("born", F.col("name").contains(F.col("part")).alias("fits"), (F.col("name") == F.col("part")).alias("same"))
-    held = handed_over(met.groupBy("part", "id").agg(F.collect_set(told).alias("rows")), "met")
-    alone = held.where(F.size("rows") == 1).select("part", "id", F.col("rows")[0].alias("r")).select("part", "id", "r.*")
+    months = searches.select("part", _months(F.col("first"), F.col("last"))).distinct().groupBy("part").agg(F.collect_list("month").alias("months"))
+    lookups = handed_over(months.join(every, "part").select("part", F.col("found").alias("gram"), "months"), "lookups")
+    few = (lookups.agg(F.sum(F.size("months"))).first()[0] or 0) <= LOOKUPS
+    by_month = lookups.select("part", "gram", F.explode("months").alias("month"))
+    if few:
+        by_month = F.broadcast(by_month)
+    else:
+        sent = F.broadcast(lookups.select(_bucket(F.col("gram")).alias("bucket")).distinct())
+        index = index.withColumn("bucket", _bucket(F.col("gram"))).join(sent, "bucket", "left_semi")
+    met = index.join(by_month, ["gram", "month"]).where(_shows(F.col("name"), F.col("part"), F.col("gram")))
+    met = handed_over(met.select("part", "id", "only", "born", F.col("name").contains(F.col("part")).alias("fits"), (F.col("name") == F.col("part")).alias("same")), "met")
+    # persons of several rows, which may tell the same of a name
+    held = met.where("NOT only").groupBy("part", "id").agg(F.collect_set(F.struct("born", "fits", "same")).alias("rows"))
+    held = handed_over(held, "held")
+    alone = met.where("only").drop("only").unionByName(held.where(F.size("rows") == 1).select("part", "id", F.col("rows")[0].alias("r")).select("part", "id", "r.*"))
     several = held.where(F.size("rows") > 1).select("part", "id", F.explode("rows").alias("r")).select("part", "id", "r.*").join(searches, "part")
     inside = F.col("fits") & F.col("born").between(F.col("first"), F.col("last"))
     near = month(F.col("born")).between(month(F.col("first")), month(F.col("last")))
     several = several.groupBy(*SEARCH, "id").agg(F.max(near).alias("near"), F.max(inside).alias("fits"), F.max(inside & F.col("same")).alias("same")).where("near")
 
-    placed = alone.where("fits").select("part", "id", "same", F.explode(spans_of(F.col("born"))).alias("s")).select("part", "id", "same", "s.*")
     cover = searches.select(*SEARCH, F.explode(covering(F.col("first"), F.col("last"))).alias("s")).select(*SEARCH, "s.*")
     zero = F.lit(0).cast("long")
-    sums = cover.join(placed.groupBy(*SPAN).agg(F.count("*").alias("hits"), F.count_if("same").alias("same")), SPAN).select(*SEARCH, zero.alias("candidates"), "hits", "same")
-    by_month = alone.groupBy("part", month(F.col("born")).alias("month")).agg(F.count("*").alias("candidates"))
-    looked_at = searches.select(*SEARCH, _months(F.col("first"), F.col("last"))).join(by_month, ["part", "month"]).select(*SEARCH, "candidates", zero.alias("hits"), zero.alias("same"))
+    by_day = alone.groupBy("part", "born").agg(F.count("*").alias("candidates"), F.count_if("fits").alias("hits"), F.count_if(F.col("fits") & F.col("same")).alias("same"))
+    in_span = by_day.where("hits > 0").select("part", "hits", "same", F.explode(spans_of(F.col("born"))).alias("s")).select("part", "hits", "same", "s.*").groupBy(*SPAN).agg(F.sum("hits").alias("hits"), F.sum("same").alias("same"))
+    sums = cover.join(in_span, SPAN).select(*SEARCH, zero.alias("candidates"), "hits", "same")
+    in_month = by_day.groupBy("part", month(F.col("born")).alias("month")).agg(F.sum("candidates").alias("candidates"))
+    looked_at = searches.select(*SEARCH, _months(F.col("first"), F.col("last"))).join(in_month, ["part", "month"]).select(*SEARCH, "candidates", zero.alias("hits"), zero.alias("same"))
     others = several.select(*SEARCH, F.lit(1).cast("long").alias("candidates"), F.col("fits").cast("long").alias("hits"), F.col("same").cast("long").alias("same"))
     stats = sums.unionAll(looked_at).unionAll(others).groupBy(*SEARCH).agg(*(F.sum(c).alias(c) for c in ("candidates", "hits", "same")))
     filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "hits", "same")]
     stats = asked.join(stats, SEARCH, "left").select("query", *filled, (F.coalesce("hits", F.lit(0)) > cap).alias("truncated"))
 
+    placed = alone.where("fits").select("part", "id", "same", F.explode(spans_of(F.col("born"))).alias("s")).select("part", "id", "same", "s.*")
     order = F.row_number().over(Window.partitionBy(*SPAN).orderBy("id"))
     first = placed.withColumn("o", order).where(F.col("o") <= cap).groupBy(*SPAN).agg(F.collect_list(F.struct("id", "same")).alias("some"))
     listed = cover.join(first, SPAN).select(*SEARCH, "some").unionAll(several.where("fits").select(*SEARCH, F.array(F.struct("id", "same")).alias("some")))

@@ -4,6 +4,7 @@ import datetime
 import json
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,53 @@ def test_searches_are_counted_by_spans(spark):
         assert all_ == list(range(low, high + 1)) and len(days) <= 2 * person.LEVELS + (high - low) // 2048
 
 
+def shuffled(spark):
+    """Bytes that tasks of this session have written for shuffles."""
+    time.sleep(1)  # the figures are kept up now and then
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_no_trigram_of_a_person_is_sent(spark):
+    """Stats of few names over many persons: what is shuffled is less than the persons' trigrams, whatever their number."""
+    people = spark.range(40_000).select("id", F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"), F.date_add(F.lit("1995-01-01"), (F.col("id") * 7919 % 900).cast("int")).alias("born"))
+    wanted = people.where("id % 2000 = 40").select(F.col("id").alias("query"), F.substr("name", F.lit(-4)).alias("name"), F.date_sub("born", 100).alias("first"), F.date_add("born", 400).alias("last"))
+    before, limit = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # as where lookups are more than Spark sends unasked
+    try:
+        _, stats = person.search(people, wanted)
+        got = {r["query"]: (r.hits, r.same) for r in stats.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    sent = shuffled(spark) - before
+    day = lambda i: i * 7919 % 900
+    assert got == {q: (sum(f"{q:09d}"[-4:] in f"{i:09d}" and -100 <= day(i) - day(q) <= 400 for i in range(40_000)), 0) for q in range(40, 40_000, 2000)}
+    assert sent < 3_000_000, sent
+
+
+@pytest.fixture(params=[person.LOOKUPS, 0])
+def lookups(request, spark, monkeypatch):
+    """How many lookups are broadcast; with none, Spark may not do so either."""
+    monkeypatch.setattr(person, "LOOKUPS", request.param)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if not request.param:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_persons_met_by_many_lookups(spark, lookups):
+    """The same with lookups that are shuffled; names that hold a short one several times; several rows that tell the same."""
+    people, wanted, found = people_and_searches(spark)
+    hits, stats = person.search(people, wanted, cap=7)
+    assert {tuple(x) for x in hits.collect()} == {(q, i, ids[i]) for q, ids in found.items() for i in sorted(ids)[:7]}
+    assert {x["query"]: (x.hits, x.same, x.truncated) for x in stats.collect()} == {q: (len(ids), sum(ids.values()), len(ids) > 7) for q, ids in found.items()}
+    names = [(1, "LILI ALI"), (2, "ALI"), (3, "L"), (4, "ÉLI LI LILLI"), (5, "LI"), (6, "xéx"), (6, "LI A"), (6, "LI B")]
+    asked = spark.createDataFrame([(1, "li"), (2, "l"), (3, "LILI"), (4, "i l")], "query int, name string").selectExpr("*", "DATE'1960-05-01' AS first", "DATE'1960-05-31' AS last")
+    hits, stats = person.search(spark.createDataFrame(names, "id int, name string").withColumn("born", F.to_date(F.lit("1960-05-07"))), asked)
+    assert {tuple(x) for x in hits.collect()} == {(1, 1, False), (1, 2, False), (1, 4, False), (1, 5, True), (1, 6, False), (2, 1, False), (2, 2, False), (2, 3, True), (2, 4, False), (2, 5, False), (2, 6, False), (3, 1, False), (4, 4, False)}
+    assert {x["query"]: (x.hits, x.same) for x in stats.collect()} == {1: (5, 1), 2: (6, 1), 3: (1, 0), 4: (1, 0)}
+
+
 def test_funnel_counts_in_one_job(spark):
     f = funnel.Funnel()
     rows = f.stage(spark.range(100), "rows")
